@@ -1,6 +1,9 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .mixing import op1_mixing
+from .mpegts import op3_mpegts
+from .secrets import op6_secrets
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mixing,)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_mpegts, op4_toxicity, op6_secrets)}
 SQL: dict[str, str] = {}
