@@ -43,8 +43,10 @@ def places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(distance, end in text) of the best approximate occurrence of pattern in text, if within most; the first such end."""
+def myers(pattern: str, text: str, most: int, first: bool = False) -> tuple[int, int] | None:
+    """(distance, end in text) of the best approximate occurrence of pattern in text, if within most; the first such end.
+
+    first: stop at the first occurrence within most instead."""
     m = len(pattern)
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -67,28 +69,78 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
         mv = ph & xv
         if score <= most and (best is None or score < best[0]):
             best = (score, j + 1)
+            if first:
+                break
     return best
 
 
-def pieces(item: str, errors: float) -> list[tuple[str, int]]:
-    """(piece, offset): one more than the item's error budget."""
+class Part:
+    """Neighbouring pieces of an item.  n of them hold at most n - 1 edits, for some such part on every level of the tree
+    whenever the item's e + 1 pieces hold at most e: what fails here for a piece's ancestors need not be looked at again.
+    """
+
+    def __init__(self, item: str, start: int, end: int, most: int):
+        self.pattern, self.start, self.length, self.most = item[start:end], start, end - start, most
+
+    def near(self, text: str, at: int) -> bool:
+        """Whether it occurs where the item would start at `at`, give or take its edits."""
+        a = at + self.start - self.most
+        return myers(self.pattern, text[max(0, a) : a + self.length + 2 * self.most], self.most, True) is not None
+
+
+class Piece:
+    """A leaf: exact text, its ancestors below the whole item, and what a first look at the nearest of them asks for."""
+
+    def __init__(self, item: str, start: int, end: int, ancestors: list[Part]):
+        self.text, self.start, self.ancestors, self.rest = item[start:end], start, ancestors, []
+        if ancestors:
+            p = ancestors[0]
+            for a, b in ((p.start, start), (end, p.start + p.length)):
+                n = p.most + 1
+                cuts = [a + (b - a) * i // n for i in range(n + 1)]
+                self.rest += [item[x:y] for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+
+    def passes(self, text: str, at: int) -> bool:
+        if self.rest:
+            p = self.ancestors[0]
+            a = at + p.start - p.most
+            window = text[max(0, a) : a + p.length + 2 * p.most]
+            if not any(r in window for r in self.rest):
+                return False
+        return all(p.near(text, at) for p in self.ancestors)
+
+
+def pieces(item: str, errors: float) -> list[Piece]:
+    """One more than the item's error budget, as leaves of a binary tree."""
     n = int(len(item) * errors) + 1
-    cuts = [len(item) * i // n for i in range(n + 1)]
-    return [(item[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    cut = [len(item) * i // n for i in range(n + 1)]
+    out = []
+
+    def split(i: int, j: int, above: list[Part]) -> None:
+        if j - i == 1:
+            out.append(Piece(item, cut[i], cut[j], above[::-1]))
+            return
+        if j - i < n:
+            above = [*above, Part(item, cut[i], cut[j], j - i - 1)]
+        split(i, (i + j) // 2, above)
+        split((i + j) // 2, j, above)
+
+    split(0, n, [])
+    return out
 
 
 class Finder:
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
         self.items = [(i, normal(t)) for i, t in items]
         self.errors = errors
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, Piece]]] = {}
         for k, (_, t) in enumerate(self.items):
             if t:
-                for piece, at in pieces(t, errors):
-                    where.setdefault(piece, []).append((k, at))
+                for piece in pieces(t, errors):
+                    where.setdefault(piece.text, []).append((k, piece))
         self.search = ahocorasick.Automaton()
-        for piece, at in where.items():
-            self.search.add_word(piece, (len(piece), at))
+        for text, at in where.items():
+            self.search.add_word(text, (len(text), at))
         if where:
             self.search.make_automaton()
 
@@ -99,8 +151,10 @@ class Finder:
         text = normal(text)
         diagonals: dict[int, set[int]] = {}
         for last, (n, at) in self.search.iter(text):
-            for k, offset in at:
-                diagonals.setdefault(k, set()).add(last - n + 1 - offset)
+            for k, piece in at:
+                start = last - n + 1 - piece.start
+                if start not in diagonals.get(k, ()) and piece.passes(text, start):
+                    diagonals.setdefault(k, set()).add(start)
         out = []
         for k, starts in diagonals.items():
             i, item = self.items[k]
