@@ -5,8 +5,9 @@ from .mixing import op1_mixing
 from .mpegts import op3_mpegts
 from .near_dedup import op8_near_dedup
 from .secrets import op6_secrets
+from .substring_dedup import op10_substring_dedup
 from .toxicity import op4_toxicity
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_mpegts, op4_toxicity, op6_secrets, op8_near_dedup, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_mpegts, op4_toxicity, op6_secrets, op8_near_dedup, op9_warc, op10_substring_dedup)}
 SQL: dict[str, str] = {}
