@@ -6,9 +6,10 @@ weights and below a rank that gives it enough of them, and of these the earliest
 a coordinate with the probability of their (weighted) Jaccard similarity.
 
 Equal bands of coordinates make candidates.  Nothing emits all pairs of a bucket: in every round each bucket compares its
-members with one leader, by exact Jaccard similarity; members found to be of one class need no more comparing, and a
-leader that has been compared with all others leaves.  Rounds go on until every bucket holds one class, or until what is
-left is so little that the remaining pairs of different classes can be listed.  So no candidate is dropped.
+members with one leader, in later rounds with a few, by exact Jaccard similarity; members found to be of one class need
+no more comparing, and leaders that have been compared with all others leave.  Rounds go on until every bucket holds one
+class, or until what is left is so little that the remaining pairs of different classes can be listed.  So no candidate is
+dropped.
 
 Edge cases: null text counts as empty; equal texts are one class at once (all empty ones too); texts without words are
 linked to equal texts only; a null id takes part, but gets no class id of its own (null if nobody in its class has an id);
@@ -166,22 +167,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge (a, b): label is the smallest node of its component.
 
     Large-star and small-star steps by turns, each a join and an aggregation; what they make is written to the shared
-    folder after every turn.
+    folder after every turn.  It ends when every node hangs on the smallest of its component, and on no other.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = written(small, "components")
-        state = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first())
-        if state == before:
-            break
-        before = state
-    return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
+        if e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
+    return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def similar(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
@@ -205,39 +206,46 @@ def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, ro
     many = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(members.join(many, "bucket"), "members")
     total = max(1, texts.count())
-    elements, labels, links, turn = None, None, None, 0
+    elements, labels, turn = None, None, 0
     while True:
-        if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("h"), F.col("node").alias("leader"), F.col("label").alias("of"))).alias("first"))
-        open_ = open_.where("lo <> hi").select("bucket", "n", "first.leader", "first.of")
-        now = written(now.join(open_, "bucket"), "round")
-        size = now.select("bucket", "n").distinct().agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()["pairs"]
+        now = members.withColumn("label", F.col("node")) if labels is None else with_labels(members, labels)
+        # a bucket's leaders, more of them in every round: the members with the smallest hashes, by way of a threshold
+        rank = F.xxhash64(F.lit(turn), F.col("node")).bitwiseAND(F.lit((1 << 40) - 1))
+        now = now.withColumn("h", rank)
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("h").alias("first"))
+        open_ = open_.where("lo <> hi").select("bucket", "n", F.greatest("first", (F.lit(1 << 40) / F.col("n") * (4**turn - 1)).cast("long")).alias("lead"))
+        now = written(now.join(open_, "bucket").withColumn("leads", F.col("h") <= F.col("lead")).select("bucket", "node", "label", "n", "leads"), "round")
+        size = now.agg(F.sum((F.col("n") - 1) / 2).alias("pairs")).first()["pairs"]
         if not size:
             break
-        last = size <= listed * total and turn > 0
-        if last:
-            left, right = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "bucket").where("a < b and la <> lb")
-        else:
-            pairs = now.where("label <> of").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        last = size <= listed * total
+        left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("leads").alias("first"))
+        left = left.drop("first") if last else left.where("first").drop("first")
+        right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+        pairs = left.join(right, "bucket").where("la <> lb and a < b" if last else "la <> lb")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if elements is None:
             used = texts.join(members.select("node").distinct(), "node")
             elements = written(sets(docs, used, width), "elements")
         found = written(similar(pairs, elements, least), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
+        if labels is None:
+            labels = written(components(found), "labels")
+        else:
+            ends = found
+            for end in ("a", "b"):
+                ends = ends.withColumnRenamed(end, "node").join(labels, "node", "left").select(F.coalesce("label", "node").alias(end), *[c for c in ("a", "b") if c != end])
+            joined = components(ends).select(F.col("node").alias("old"), F.col("label").alias("new"))
+            known = labels.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+            fresh = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+            labels = written(known.unionByName(fresh).distinct(), "labels")
         if last:
             break
-        members = written(now.where("node <> leader").select("node", "bucket"), "members")
+        members = now.where("not leads").select("node", "bucket")
         turn += 1
     if labels is None:
         named = texts.withColumn("label", F.col("node"))
     else:
-        named = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = with_labels(texts, labels)
     ids = named.groupBy("label").agg(F.min("id").alias("class_id"))
     named = named.join(ids, "label").select("copy", "class_id")
     return base.select("doc_id", "copy").join(named, "copy")
