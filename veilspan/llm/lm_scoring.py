@@ -27,7 +27,7 @@ from .common import slices, split_of_crc32, table, utf8, written
 from .hashing import FOLD, Batch
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 #: Neither in UTF-8: stands before a text, and ends it.
 EDGE = 0xFF
 #: Key of the end token; words have hashes of their own.
@@ -229,9 +229,9 @@ def score(docs: DataFrame) -> DataFrame:
     counts = written(each.where(F.col("kind") == WORDS).select("key", "n"), "words")
     known = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_all, n_types = int(known["n"] or 0), int(known["v"] or 0)
-    keys = written(each.where(F.col("kind") == GRAMS).select("key", "n").repartition(F.shiftright("key", 8 * (DEPTH - 1))), "grams")
+    keys = written(each.where(F.col("kind") == GRAMS).select("key", "n").repartition(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), "grams")
     # read again in whole contexts of two bytes
-    keys = keys.repartition(F.shiftright("key", 8 * (DEPTH - 1)))
+    keys = keys.repartition(F.shiftrightunsigned("key", 8 * (DEPTH - 1)))
     top = top_levels(keys)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

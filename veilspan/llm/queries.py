@@ -1,13 +1,15 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .decontamination import op2_decontamination
+from .lm_scoring import op5_lm_scoring
 from .mixing import op1_mixing
 from .mpegts import op3_mpegts
 from .near_dedup import op8_near_dedup
 from .secrets import op6_secrets
 from .substring_dedup import op10_substring_dedup
+from .token_counts import op7_token_counts
 from .toxicity import op4_toxicity
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_mpegts, op4_toxicity, op6_secrets, op8_near_dedup, op9_warc, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontamination, op3_mpegts, op4_toxicity, op5_lm_scoring, op6_secrets, op7_token_counts, op8_near_dedup, op9_warc, op10_substring_dedup)}
 SQL: dict[str, str] = {}
