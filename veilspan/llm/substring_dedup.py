@@ -1,6 +1,6 @@
 """Removal of byte strings of a given width that occur more than once, by suffix arrays.
 
-Each window of `width` bytes has an anchor: of its 16-byte grams that with the smallest hash, the first of them on ties.
+Each window of `width` bytes has an anchor: of its 32-byte grams that with the smallest hash, the first of them on ties.
 Equal windows have equal anchors, so that only windows of an anchor that occurs again need comparing: those of one
 occurrence make a slice of less than twice the width.  Equal slices are counted (each of their windows repeats); different
 slices of an anchor go to a shard, whose suffix array is made by induced sorting and whose permuted common prefixes tell
@@ -27,7 +27,7 @@ from .common import slices, table, utf8, written
 from .hashing import mix
 from .suffixes import repeated
 
-WIDTH, GRAM = 200, 16
+WIDTH, GRAM = 200, 32
 #: Bytes of slices that share a suffix array, if they belong to several anchors.
 SHARD = 1 << 20
 #: In a 64-bit value that orders grams, the low bits hold the place in the buffer (256 MB), the others the hash.
@@ -47,9 +47,12 @@ def anchors(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, np.int64)
     if not count.any():
         return none, none, none, none
-    data = b"".join(texts) + bytes(GRAM + 8)
-    word = np.ndarray((n + 8,), "<u8", data, strides=(1,))
-    h = mix(word[:n] * np.uint64(0x9FB21C651E98DF25) ^ (word[8 : n + 8] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(7) ^ word[8 : n + 8] << np.uint64(19))
+    data = b"".join(texts) + bytes(GRAM)
+    word = np.ndarray((n + GRAM - 8,), "<u8", data, strides=(1,))
+    h = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        h = (h ^ (h >> np.uint64(29)) ^ word[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
+    h = mix(h)
     low = h & ~PLACE | np.arange(n, dtype=np.uint64)
     step = 1
     while step * 2 <= grams:
@@ -65,27 +68,28 @@ def anchors(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
 
 
 def anchor_table(docs: DataFrame, width: int) -> DataFrame:
-    """text (id), first, n, anchor."""
+    """id of the text, place (first window << 16 | number of windows), anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
             doc, first, n, key = anchors(utf8(batch["text"]), width)
             if len(doc):
-                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key)], names=["id", "first", "n", "anchor"])
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(doc)), pa.array(first << 16 | n), pa.array(key)], names=["id", "place", "anchor"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, first int, n int, anchor long")
+    return docs.select("id", "text").mapInArrow(run, "id long, place long, anchor long")
 
 
 def cut(found: DataFrame, width: int) -> DataFrame:
-    """From (id, text, at array<struct<first, n, anchor>>): each slice with its anchor and digest."""
+    """From (id, text, at array<struct<place, anchor>>): each slice with its anchor and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             rows: list[tuple] = []
             for i, text, at in zip(batch["id"].to_pylist(), utf8(batch["text"]), batch["at"].to_pylist(), strict=True):
                 for x in at:
-                    piece = text[x["first"] : x["first"] + x["n"] + width - 1]
-                    rows.append((x["anchor"], hashlib.md5(piece).digest(), piece, i, x["first"]))
+                    first, n = x["place"] >> 16, x["place"] & 0xFFFF
+                    piece = text[first : first + n + width - 1]
+                    rows.append((x["anchor"], hashlib.md5(piece).digest(), piece, i, first))
             if rows:
                 anchor, digest, piece, i, first = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.binary()), pa.array(piece, pa.binary()), pa.array(i, pa.int64()), pa.array(first, pa.int32())], names=["anchor", "digest", "slice", "id", "first"])
@@ -156,11 +160,11 @@ def repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> Dat
     docs = docs.select("doc_id", "text", text_id(F.col("text")).alias("id"))
     base = written(docs.select("doc_id", "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")), "texts")
     found = written(anchor_table(docs, width), "anchors")
-    place = F.xxhash64("id", "first")
+    place = F.xxhash64("id", "place")
     again = found.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor")
     texts = base.groupBy("id").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"))
     # one occurrence list for each different text, of its anchors that occur again; its length is bounded by the text's
-    lists = found.join(again, "anchor").dropDuplicates(["id", "first"]).groupBy("id").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("at"))
+    lists = found.join(again, "anchor").dropDuplicates(["id", "place"]).groupBy("id").agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
     lists = lists.join(texts, "id").select(F.col("id").alias("tid"), "one", "at")
     some = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("id") == F.col("tid"))).select("id", "text", "at")
     some = written(some, "candidates")
