@@ -5,7 +5,9 @@ plane of weight and rank in which darts of a unit Poisson process are thrown by
 weights and below a rank that gives it enough of them, and of these the earliest for each coordinate.  Two texts agree in
 a coordinate with the probability of their (weighted) Jaccard similarity.
 
-Equal bands of coordinates make candidates.  Nothing emits all pairs of a bucket: in every round each bucket compares its
+Equal bands of coordinates make candidates.  Elements that no other candidate has bound a text's similarity from above: in
+a bucket where this rules it out, it needs no comparing, and the text with the smallest share of them leads: of edited
+copies that is the one nearest to their origin.  Nothing emits all pairs of a bucket: in every round each bucket compares its
 members with one leader, in later rounds with a few, by exact Jaccard similarity; members found to be of one class need
 no more comparing, and leaders that have been compared with all others leave.  Rounds go on until every bucket holds one
 class, or until what is left is so little that the remaining pairs of different classes can be listed.  So no candidate is
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8, written
@@ -142,7 +144,7 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, width: int
     return docs.select("doc_id", "text", copy_of("text").alias("copy")).mapInArrow(run, f"doc_id {kind}, copy binary, bands array<bigint>")
 
 
-def copy_of(text: str):
+def copy_of(text: str) -> Column:
     """A digest of 16 bytes: equal for equal texts, null counting as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
@@ -185,15 +187,29 @@ def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def similar(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose Jaccard similarity is at least `least`."""
+def facts(elements: DataFrame) -> DataFrame:
+    """node, size, own: how many elements a text has, and how many that no other of the texts has."""
+    each = elements.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    own = each.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return elements.select("node", F.size("elements").alias("size")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
+def at_most(a: str, b: str) -> Column:
+    """A bound on the number of elements that two texts share: none that one has alone, and where both were compared with
+    a leader, at most what the one that has less of it has, and as many others as both can have."""
+    size, own, met = (lambda x, k=k: F.col(f"{k}{x}") for k in "sow")
+    plain = F.least(size(a) - own(a), size(b) - own(b))
+    others = F.least(size(a) - own(a) - met(a), size(b) - own(b) - met(b))
+    return F.when((met(a) >= 0) & (met(b) >= 0), F.least(plain, F.least(met(a), met(b)) + F.greatest(others, F.lit(0)))).otherwise(plain)
+
+
+def common(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """a, b, sa, sb (sizes), common: how many elements the texts of each pair share."""
     both = pairs.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    short = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(short).where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.select("a", "b", F.size("x").alias("sa"), F.size("y").alias("sb"), F.size(F.array_intersect("x", "y")).alias("common"))
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, listed: float = 4.0) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, listed: float = 300.0) -> DataFrame:
     """doc_id, copy, class_id (the smallest id of the class) for every row of docs.
 
     listed: remaining pairs are listed once a bound on their number is below so many times the number of texts.
@@ -206,28 +222,33 @@ def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, ro
     many = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(members.join(many, "bucket"), "members")
     total = max(1, texts.count())
-    elements, labels, turn = None, None, 0
+    elements = written(sets(docs, texts.join(members.select("node").distinct(), "node"), width), "elements")
+    # with: elements that a text shares with its bucket's first leader (-1: not compared with it)
+    members = written(members.join(facts(elements), "node").withColumn("with", F.lit(-1)), "members")
+    labels, turn = None, 0
     while True:
         now = members.withColumn("label", F.col("node")) if labels is None else with_labels(members, labels)
-        # a bucket's leaders, more of them in every round: the members with the smallest hashes, by way of a threshold
-        rank = F.xxhash64(F.lit(turn), F.col("node")).bitwiseAND(F.lit((1 << 40) - 1))
-        now = now.withColumn("h", rank)
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("h").alias("first"))
-        open_ = open_.where("lo <> hi").select("bucket", "n", F.greatest("first", (F.lit(1 << 40) / F.col("n") * (4**turn - 1)).cast("long")).alias("lead"))
-        now = written(now.join(open_, "bucket").withColumn("leads", F.col("h") <= F.col("lead")).select("bucket", "node", "label", "n", "leads"), "round")
+        # leaders: the member with the smallest share of elements of its own, in later rounds more, by a threshold of hashes
+        h = F.xxhash64(F.lit(turn), F.col("node")).bitwiseAND(F.lit((1 << 40) - 1))
+        now = now.withColumn("h", h).withColumn("key", F.struct((F.col("own") / F.col("size")).alias("share"), "h", "node"))
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("size").alias("small"), F.min("key").alias("first"))
+        open_ = open_.where("lo <> hi").select("bucket", "n", "small", F.col("first.node").alias("leader"))
+        lead = (F.col("node") == F.col("leader")) | (F.col("h") <= (F.lit(1 << 40) / F.col("n") * (4**turn - 1)).cast("long"))
+        shared = F.col("size") - F.col("own")
+        possible = shared >= (least - 1e-9) * (F.col("size") + F.greatest("small", shared) - shared)
+        now = now.join(open_, "bucket").where(possible).withColumn("leads", lead)
+        now = written(now.select("bucket", "node", "size", "own", "with", "label", "n", "leader", "leads"), "round")
         size = now.agg(F.sum((F.col("n") - 1) / 2).alias("pairs")).first()["pairs"]
         if not size:
             break
-        last = size <= listed * total
-        left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("leads").alias("first"))
-        left = left.drop("first") if last else left.where("first").drop("first")
-        right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = left.join(right, "bucket").where("la <> lb and a < b" if last else "la <> lb")
+        last = turn > 0 and size <= listed * total
+        side = lambda x, now=now: now.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("own").alias(f"o{x}"), F.col("with").alias(f"w{x}"))
+        pairs = side("a", now if last else now.where("leads")).join(side("b"), "bucket")
+        pairs = pairs.where("la <> lb and a < b" if last else "la <> lb")
+        pairs = pairs.where(at_most("a", "b") >= (least - 1e-9) * (F.col("sa") + F.col("sb") - at_most("a", "b")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if elements is None:
-            used = texts.join(members.select("node").distinct(), "node")
-            elements = written(sets(docs, used, width), "elements")
-        found = written(similar(pairs, elements, least), "links")
+        compared = written(common(pairs, elements), "compared")
+        found = compared.where(F.col("common") >= (least - 1e-12) * (F.col("sa") + F.col("sb") - F.col("common"))).select("a", "b")
         if labels is None:
             labels = written(components(found), "labels")
         else:
@@ -240,7 +261,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, ro
             labels = written(known.unionByName(fresh).distinct(), "labels")
         if last:
             break
-        members = now.where("not leads").select("node", "bucket")
+        members = now.where("not leads")
+        if not turn:
+            met = compared.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("common").alias("_c"))
+            members = members.join(met, (F.least("node", "leader") == F.col("_a")) & (F.greatest("node", "leader") == F.col("_b")), "left").withColumn("with", F.coalesce("_c", F.lit(-1)))
+        members = members.select("node", "bucket", "size", "own", "with")
         turn += 1
     if labels is None:
         named = texts.withColumn("label", F.col("node"))
