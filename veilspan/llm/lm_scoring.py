@@ -72,7 +72,7 @@ def asked(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             texts, train = utf8(batch["text"]), ~batch["held_out"].to_numpy(zero_copy_only=False)
             block = batch["block"].to_numpy()
             found = [f(texts) for f in (words, grams)]
@@ -256,7 +256,7 @@ def score(docs: DataFrame) -> DataFrame:
             order = np.argsort(key)
             tables.append((key[order], value[order]))
         out = []
-        for batch in slices(mine.combine_chunks().to_batches(), most=4 << 20):
+        for batch in slices(mine.combine_chunks().to_batches(), most=1 << 20):
             texts = utf8(batch["text"])
             found = []
             for (key, value), (k, doc) in zip(tables, (words(texts), grams(texts)), strict=True):
