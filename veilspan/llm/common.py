@@ -32,10 +32,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, and survives the loss of executors."""
+def written(df: DataFrame, what: str, release: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage, and survives the loss of executors.
+
+    release: have the driver collect its garbage now, so that Spark's cleaner drops the shuffle files that made df.
+    """
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    if release:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -79,56 +79,78 @@ def anchor_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, place long, anchor long")
 
 
+def pieces(texts: list[bytes], lists: list[list[dict]], width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(number of the text, first window, anchor, slice) of every occurrence listed."""
+    for i, (text, at) in enumerate(zip(texts, lists, strict=True)):
+        for x in at:
+            first, n = x["place"] >> 16, x["place"] & 0xFFFF
+            yield i, first, x["anchor"], text[first : first + n + width - 1]
+
+
 def cut(found: DataFrame, width: int) -> DataFrame:
-    """From (id, text, at array<struct<place, anchor>>): each slice with its anchor and digest."""
+    """From (id, text, at array<struct<place, anchor>>): anchor, digest, slice, copies; equal ones of a batch are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
-            rows: list[tuple] = []
-            for i, text, at in zip(batch["id"].to_pylist(), utf8(batch["text"]), batch["at"].to_pylist(), strict=True):
-                for x in at:
-                    first, n = x["place"] >> 16, x["place"] & 0xFFFF
-                    piece = text[first : first + n + width - 1]
-                    rows.append((x["anchor"], hashlib.md5(piece).digest(), piece, i, first))
-            if rows:
-                anchor, digest, piece, i, first = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.binary()), pa.array(piece, pa.binary()), pa.array(i, pa.int64()), pa.array(first, pa.int32())], names=["anchor", "digest", "slice", "id", "first"])
+            seen: dict[tuple[int, bytes], int] = {}
+            for _, _, anchor, piece in pieces(utf8(batch["text"]), batch["at"].to_pylist(), width):
+                seen[anchor, piece] = seen.get((anchor, piece), 0) + 1
+            if seen:
+                anchor, piece = zip(*seen, strict=True)
+                yield pa.record_batch({"anchor": pa.array(anchor, pa.int64()), "digest": pa.array([hashlib.md5(x).digest() for x in piece], pa.binary()), "slice": pa.array(piece, pa.binary()), "copies": pa.array(seen.values(), pa.int64())})
 
-    return found.mapInArrow(run, "anchor long, digest binary, slice binary, id long, first int")
+    return found.mapInArrow(run, "anchor long, digest binary, slice binary, copies long")
 
 
-def compared(distinct: DataFrame, width: int) -> DataFrame:
-    """From (anchor, digest, slice, copies): (anchor, digest, low, high), runs of windows that occur again."""
+def cut_places(found: DataFrame, width: int) -> DataFrame:
+    """anchor, digest, id, first of each slice, without its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        for batch in slices(batches, most=2 << 20):
+            ids = batch["id"].to_pylist()
+            rows = [(anchor, hashlib.md5(piece).digest(), ids[i], first) for i, first, anchor, piece in pieces(utf8(batch["text"]), batch["at"].to_pylist(), width)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["anchor", "digest", "id", "first"])
 
-        def result() -> pa.RecordBatch:
-            rows = []
-            counts: dict[int, int] = {}
-            for anchor, *_ in held:
-                counts[anchor] = counts.get(anchor, 0) + 1
-            alone = [x for x in held if counts[x[0]] == 1 or x[3] > 1]
-            rows += [(x[0], x[1], 0, len(x[2]) - width) for x in alone if x[3] > 1]
-            several = [x for x in held if counts[x[0]] > 1]
-            for x, runs in zip(several, repeated([x[2] for x in several], width) if several else (), strict=True):
-                if x[3] == 1:
-                    rows += [(x[0], x[1], a, b) for a, b in runs]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["anchor", "digest", "low", "high"])
+    return found.mapInArrow(run, "anchor long, digest binary, id long, first int")
 
+
+def compared(cuts: DataFrame, width: int) -> DataFrame:
+    """From (anchor, digest, slice, copies) in whole anchors, sorted: (anchor, digest, low, high), runs of windows that
+    occur again."""
+
+    def result(held: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
+        rows = []
+        several: list[tuple[int, bytes, bytes, int]] = []
+        for anchor, group in held.items():
+            rows += [(anchor, d, 0, len(x) - width) for d, (x, n) in group.items() if n > 1]
+            if len(group) > 1 and any(n == 1 for _, n in group.values()):
+                several += [(anchor, d, x, n) for d, (x, n) in group.items()]
+        for (anchor, d, _, n), runs in zip(several, repeated([x[2] for x in several], width) if several else (), strict=True):
+            if n == 1:
+                rows += [(anchor, d, a, b) for a, b in runs]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "digest", "low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[bytes, list]] = {}
+        size = 0
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "slice", "copies")), strict=True):
-                if size >= SHARD and row[0] != held[-1][0]:
-                    yield result()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+            for anchor, digest, piece, n in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "slice", "copies")), strict=True):
+                if anchor not in held:
+                    if size >= SHARD:
+                        yield result(held)
+                        held, size = {}, 0
+                    held[anchor] = {}
+                if digest in held[anchor]:
+                    held[anchor][digest][1] += n
+                else:
+                    held[anchor][digest] = [piece, n]
+                    size += len(piece)
         if held:
-            yield result()
+            yield result(held)
 
-    return distinct.mapInArrow(run, "anchor long, digest binary, low int, high int")
+    return cuts.mapInArrow(run, "anchor long, digest binary, low int, high int")
 
 
 def trimmed(marked: DataFrame, width: int, keep_text: bool) -> DataFrame:
@@ -160,17 +182,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> Dat
     docs = docs.select("doc_id", "text", text_id(F.col("text")).alias("id"))
     base = written(docs.select("doc_id", "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")), "texts")
     found = written(anchor_table(docs, width), "anchors")
-    place = F.xxhash64("id", "place")
-    again = found.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor")
+    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     texts = base.groupBy("id").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"))
     # one occurrence list for each different text, of its anchors that occur again; its length is bounded by the text's
     lists = found.join(again, "anchor").dropDuplicates(["id", "place"]).groupBy("id").agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
     lists = lists.join(texts, "id").select(F.col("id").alias("tid"), "one", "at")
     some = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("id") == F.col("tid"))).select("id", "text", "at")
-    some = written(some, "candidates")
-    pieces = cut(some, width)
-    distinct = pieces.groupBy("anchor", "digest").agg(F.first("slice").alias("slice"), F.count("*").alias("copies"))
-    runs = written(compared(distinct.repartition("anchor").sortWithinPartitions("anchor"), width), "runs")
+    some = written(some, "candidates", release=True)
+    runs = written(compared(cut(some, width).repartition("anchor").sortWithinPartitions("anchor"), width), "runs", release=True)
     marks = cut_places(some, width).join(runs, ["anchor", "digest"]).groupBy("id").agg(F.collect_list(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("at"))
     marked = some.select("id", "text").join(marks, "id")
     gone = trimmed(marked, width, keep_text).dropDuplicates(["id"])
@@ -183,10 +202,5 @@ def repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> Dat
     return out.select("doc_id", "n_bytes", *cols, *([F.when(all_, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []))
 
 
-def cut_places(found: DataFrame, width: int) -> DataFrame:
-    """anchor, digest, id, first of each slice, without its bytes."""
-    return cut(found, width).select("anchor", "digest", "id", "first")
-
-
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
