@@ -145,7 +145,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         rows, held = [], 0
-        for path in partition.paths:
+        for path in partition.paths if partition is not None else ():  # None: there is no archive
             fs, name = filesystem(path)
             with fs.open_input_file(name) as raw, io.BufferedReader(raw, 1 << 20) as f:
                 while (head := parse_headers(f)) is not None:
