@@ -152,14 +152,12 @@ def bio_entities(spark, sf_dir):
     return ner.bio_entities(found.withColumn("tag", F.expr(TAG)).withColumn("score", (F.col("tok") % 8) / F.lit(8.0)))
 
 
-@query("SELECT c_custkey AS id, regexp_replace('open /home/' || c_name || '/x', '(/(?:home|Users)/)[^/[:space:]]+', '\\1<user>') AS line FROM customer WHERE false")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'failed: /***/XYZ.pdf again' ELSE 'processing XYZ.pdf done' END AS line FROM customer")
 def log_lines_sanitized(spark, sf_dir):
-    lines = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("processing: /home/"), F.col("c_name"), F.lit("/lelet.pdf failed")).alias("line"))
+    lines = read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 2 = 0 THEN concat('failed: /home/', c_name, '/lelet.pdf again') ELSE concat('processing ', c_name, ' lelet.PDF done') END AS line")
     return lines.select("id", sanitize_log(F.col("line")).alias("line"))
 
 
-SQL["log_lines_sanitized"] = "SELECT c_custkey AS id, 'processing: <file>.pdf failed' AS line FROM customer"
-
 EVENTS = "CASE event_id % 4 WHEN 0 THEN 'converting' WHEN 1 THEN 'redacting' WHEN 2 THEN 'done' ELSE 'failed' END"
 
 
