@@ -72,23 +72,32 @@ def asked(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
-        for batch in slices(batches, most=1 << 20):
-            texts, train = utf8(batch["text"]), ~batch["held_out"].to_numpy(zero_copy_only=False)
-            block = batch["block"].to_numpy()
-            found = [f(texts) for f in (words, grams)]
-            for b in np.unique(block).tolist():
-                mine = held.setdefault(b, [[], []])
-                for kind, (key, doc) in enumerate(found):
-                    here = block[doc] == b
-                    mine[kind].append(added([(key[here], train[doc[here]].astype(np.int64))]))
-                    if len(mine[kind]) >= 8:
-                        mine[kind] = [added(mine[kind])]
-        for b, kinds in held.items():
-            for kind, parts in enumerate(kinds):
+
+        def result(b: int) -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held.pop(b)):
                 key, n = added(parts)
                 for i in range(0, len(key), 100_000):
                     some = key[i : i + 100_000]
                     yield pa.record_batch({"kind": np.full(len(some), kind, np.int8), "key": some.view(np.int64), "block": np.full(len(some), b, np.int64), "n": n[i : i + 100_000]})
+            pa.default_memory_pool().release_unused()
+
+        for batch in slices(batches, most=1 << 20):
+            texts, train = utf8(batch["text"]), ~batch["held_out"].to_numpy(zero_copy_only=False)
+            block = batch["block"].to_numpy()
+            here_now = np.unique(block).tolist()
+            # a split's rows come together: blocks that this batch hasn't are over, or are given in parts
+            for b in [b for b in held if b not in here_now]:
+                yield from result(b)
+            for kind, f in enumerate((words, grams)):
+                key, doc = f(texts)
+                for b in here_now:
+                    here = block[doc] == b
+                    mine = held.setdefault(b, [[], []])[kind]
+                    mine.append(added([(key[here], train[doc[here]].astype(np.int64))]))
+                    if len(mine) >= 8:
+                        mine[:] = [added(mine)]
+        for b in list(held):
+            yield from result(b)
 
     return docs.mapInArrow(run, "kind byte, key long, block long, n long")
 
@@ -251,10 +260,11 @@ def score(docs: DataFrame) -> DataFrame:
     def rate(mine: pa.Table, got: pa.Table) -> pa.Table:
         tables = []
         for kind in (WORDS, GRAMS):
-            t = got.filter(pa.compute.equal(got["kind"], kind))
-            key, value = t["key"].to_numpy().view(np.uint64), t["value"].to_numpy()
-            order = np.argsort(key)
-            tables.append((key[order], value[order]))
+            t = got.select(["key", "value"]).filter(pa.compute.equal(got["kind"], kind))
+            # a block given in parts has asked for a key more than once, and got the same answer
+            key, at = np.unique(t["key"].to_numpy().view(np.uint64), return_index=True)
+            tables.append((key, t["value"].to_numpy()[at]))
+            del t
         out = []
         for batch in slices(mine.combine_chunks().to_batches(), most=1 << 20):
             texts = utf8(batch["text"])
@@ -271,6 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
                 batch["doc_id"], batch["held_out"], pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(total(doc, c > 0, n).astype(np.int64)), pa.array(np.full(n, n_all)),
                 pa.array(total(doc, np.log10((c + 1) / (n_all + n_types + 1)), n)), pa.array(score), pa.array(sizes), pa.array(-score / np.log10(2) / np.maximum(sizes, 1)),
             ], names=names))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
     id_kind = docs.schema["doc_id"].dataType
