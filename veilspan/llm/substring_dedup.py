@@ -181,7 +181,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> Dat
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = docs.select("doc_id", "text", text_id(F.col("text")).alias("id"))
     base = written(docs.select("doc_id", "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")), "texts")
-    found = written(anchor_table(docs, width), "anchors")
+    # read twice, and computed twice: that costs less than to keep it
+    found = anchor_table(docs, width)
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     texts = base.groupBy("id").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"))
     # one occurrence list for each different text, of its anchors that occur again; its length is bounded by the text's
