@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,18 @@ def test_trees_give_probabilities():
     assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-8)
 
 
+def test_contexts_stay_whole():
+    rn = np.random.default_rng(4)
+    key = np.unique(rn.integers(0, 40, 5000, dtype=np.uint64) << lm_scoring.CONTEXT | rn.integers(0, 2000, 5000, dtype=np.uint64))
+    n = np.arange(len(key))
+    batches = [pa.record_batch({"key": key[i : i + 37].view(np.int64), "n": n[i : i + 37]}) for i in range(0, len(key), 37)]
+    for most in (1, 500, 10**6):
+        parts = list(lm_scoring.contexts(iter(batches), most))
+        assert np.array_equal(np.concatenate([k for k, _ in parts]), key) and np.array_equal(np.concatenate([m for _, m in parts]), n)
+        assert all(a[-1] >> lm_scoring.CONTEXT != b[0] >> lm_scoring.CONTEXT for (a, _), (b, _) in zip(parts, parts[1:], strict=False))
+    assert list(lm_scoring.contexts(iter([]))) == []
+
+
 def plain_tree(key, n, bit, node, depth, prefix):
     """Weighted probability of one node by the definition: half its own estimate, half the product of its children."""
     here = [(k, c) for k, c in zip(key, n, strict=True) if k[0][:depth] == node and k[1] >> (8 - bit) == prefix]

@@ -16,7 +16,7 @@ split; repeated rows are scored, and learned from, each time; without training r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,15 @@ from .hashing import FOLD, Batch
 
 #: Bytes of context.
 DEPTH = 5
+#: Bits of a gram's key below its nearest two bytes of context.
+CONTEXT = np.uint64(8 * (DEPTH - 1))
 #: Neither in UTF-8: stands before a text, and ends it.
 EDGE = 0xFF
 #: Key of the end token; words have hashes of their own.
 END = np.uint64(0x5851F42D4C957F2D)
 WORDS, GRAMS = 0, 1
+#: Keys whose trees are made at once, if they belong to several contexts of two bytes.
+MANY = 100_000
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +154,11 @@ def counted(key: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.nd
 
 def trees(key: np.ndarray, n: np.ndarray, least: int) -> list[list[Level]]:
     """Levels by bit and depth, from DEPTH up to `least`; key (sorted) holds all training grams of the contexts in it."""
-    out = []
+    return list(trees_in_turn(key, n, least))
+
+
+def trees_in_turn(key: np.ndarray, n: np.ndarray, least: int) -> Iterator[list[Level]]:
+    """The same, one bit after another, so that only the levels of one are held."""
     by = {DEPTH: (key, n)}
     for d in range(DEPTH - 1, least - 1, -1):
         up, m = by[d + 1]
@@ -165,8 +173,7 @@ def trees(key: np.ndarray, n: np.ndarray, least: int) -> list[list[Level]]:
                 parent = np.searchsorted(node, upward(levels[-1].key, bit))
                 below = np.bincount(parent, levels[-1].weighted, len(node))
             levels.append(Level(node, zeros, ones, below))
-        out.append(levels[::-1])
-    return out
+        yield levels[::-1]
 
 
 def upward(node: np.ndarray, bit: int) -> np.ndarray:
@@ -175,35 +182,49 @@ def upward(node: np.ndarray, bit: int) -> np.ndarray:
     return node >> np.uint64(bit + 8) << np.uint64(bit) | node & low
 
 
-def probabilities(key: np.ndarray, levels: list[list[Level]], top: list[list[Level]]) -> np.ndarray:
+def probabilities(key: np.ndarray, levels: Iterable[list[Level]], top: list[list[Level]], most: int = 200_000) -> np.ndarray:
     """log10 of each gram's byte given its context; levels: of depth 2 and more, top: of depth 0 and 1."""
     total = np.zeros(len(key))
-    for bit in range(8):
-        one = (key >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-        node = key >> np.uint64(8 - bit) if bit else key >> np.uint64(8)
-        q, below = np.full(len(key), 0.5), np.zeros(len(key), bool)
-        for level in [*top[bit], *levels[bit]][::-1]:
-            seen, own, weight = level.look(node, one)
-            q = np.where(seen, np.where(below, weight * own + (1 - weight) * q, own), q)
-            below = below | seen
-            node = upward(node, bit)
-        total += np.log10(q)
+    for bit, (low, high) in enumerate(zip(levels, top, strict=True)):
+        for i in range(0, len(key), most):
+            some = key[i : i + most]
+            one = (some >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
+            node = some >> np.uint64(8 - bit) if bit else some >> np.uint64(8)
+            q, below = np.full(len(some), 0.5), np.zeros(len(some), bool)
+            for level in [*high, *low][::-1]:
+                seen, own, weight = level.look(node, one)
+                q = np.where(seen, np.where(below, weight * own + (1 - weight) * q, own), q)
+                below = below | seen
+                node = upward(node, bit)
+            total[i : i + most] += np.log10(q)
     return total
 
 
-def sorted_rows(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()) for b in batches if len(b)]
-    return added(rows) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def contexts(batches: Iterator[pa.RecordBatch], most: int = MANY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, n) of whole contexts of two bytes, about `most` keys at once, from batches in the order of their keys."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append((b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()))
+        size += len(b)
+        first, last = held[0][0][0] >> CONTEXT, held[-1][0][-1] >> CONTEXT
+        if size >= most and first != last:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = int(np.searchsorted(key, last << CONTEXT))
+            yield key[:end], n[:end]
+            held, size = [(key[end:], n[end:])], len(key) - end
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def top_levels(keys: DataFrame) -> list[list[Level]]:
     """Depth 0 and 1 of the trees: sums over their children, at most 256 * 255 rows, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = sorted_rows(batches)
-        key, n = key[n > 0], n[n > 0]
-        if len(key):
-            for bit, levels in enumerate(trees(key, n, 2)):
+        for key, n in contexts(batches):
+            for bit, levels in enumerate(trees_in_turn(key[n > 0], n[n > 0], 2)):
                 second = levels[0]
                 up = upward(second.key, bit)
                 yield pa.record_batch({"bit": np.full(len(up), bit, np.int32), "node": up.view(np.int64), "zeros": second.zeros, "ones": second.ones, "below": second.weighted})
@@ -234,22 +255,23 @@ def score(docs: DataFrame) -> DataFrame:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     docs = docs.select("doc_id", "text", (split_of_crc32(F.col("doc_id"), 7) == 2).alias("held_out"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block"))
     rows = written(asked(docs), "asked")
-    each = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = written(each.where(F.col("kind") == WORDS).select("key", "n"), "words")
+    counts = written(rows.where(F.col("kind") == WORDS).groupBy("key").agg(F.sum("n").alias("n")), "words")
     known = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_all, n_types = int(known["n"] or 0), int(known["v"] or 0)
-    keys = written(each.where(F.col("kind") == GRAMS).select("key", "n").repartition(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), "grams")
-    # read again in whole contexts of two bytes
-    keys = keys.repartition(F.shiftrightunsigned("key", 8 * (DEPTH - 1)))
+    # blocks ask once for a key: adding up before the shuffle would find nothing to add, so that one by context does for both
+    two = F.shiftrightunsigned("key", int(CONTEXT))
+    grams_ = rows.where(F.col("kind") == GRAMS).select(two.alias("context"), "key", "n").repartition("context")
+    keys = written(grams_.groupBy("context", "key").agg(F.sum("n").alias("n")).select("key", "n"), "grams", release=True)
+    # read again in whole contexts of two bytes, sorted: trees are made of some contexts at a time
+    keys = keys.repartition(two).sortWithinPartitions("key")
     top = top_levels(keys)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = sorted_rows(batches)
-        if len(key):
-            levels = trees(key[n > 0], n[n > 0], 2)
-            for i in range(0, len(key), 200_000):
-                some = key[i : i + 200_000]
-                yield pa.record_batch({"kind": np.full(len(some), GRAMS, np.int8), "key": some.view(np.int64), "value": probabilities(some, levels, top)})
+        for key, n in contexts(batches):
+            value = probabilities(key, trees_in_turn(key[n > 0], n[n > 0], 2), top)
+            for i in range(0, len(key), MANY):
+                some = key[i : i + MANY]
+                yield pa.record_batch({"kind": np.full(len(some), GRAMS, np.int8), "key": some.view(np.int64), "value": value[i : i + MANY]})
 
     values = counts.select(F.lit(WORDS).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(keys.mapInArrow(weigh, "kind byte, key long, value double"))
     answers = rows.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
