@@ -28,6 +28,8 @@ from .hashing import FOLD, Batch
 
 #: Bytes of context.
 DEPTH = 5
+#: Bytes of text whose grams are held at once, besides the different ones of a block.
+SLICE = 1 << 19
 #: Bits of a gram's key below its nearest two bytes of context.
 CONTEXT = np.uint64(8 * (DEPTH - 1))
 #: Neither in UTF-8: stands before a text, and ends it.
@@ -85,7 +87,7 @@ def asked(docs: DataFrame) -> DataFrame:
                     yield pa.record_batch({"kind": np.full(len(some), kind, np.int8), "key": some.view(np.int64), "block": np.full(len(some), b, np.int64), "n": n[i : i + 100_000]})
             pa.default_memory_pool().release_unused()
 
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=SLICE):
             texts, train = utf8(batch["text"]), ~batch["held_out"].to_numpy(zero_copy_only=False)
             block = batch["block"].to_numpy()
             here_now = np.unique(block).tolist()
@@ -283,12 +285,14 @@ def score(docs: DataFrame) -> DataFrame:
         tables = []
         for kind in (WORDS, GRAMS):
             t = got.select(["key", "value"]).filter(pa.compute.equal(got["kind"], kind))
-            # a block given in parts has asked for a key more than once, and got the same answer
-            key, at = np.unique(t["key"].to_numpy().view(np.uint64), return_index=True)
-            tables.append((key, t["value"].to_numpy()[at]))
+            # a block given in parts has asked for a key more than once, and got the same answer: any of them does
+            key, value = t["key"].to_numpy().view(np.uint64), t["value"].to_numpy()
             del t
+            order = np.argsort(key)
+            tables.append((key[order], value[order]))
+            del key, value, order
         out = []
-        for batch in slices(mine.combine_chunks().to_batches(), most=1 << 20):
+        for batch in slices(iter(mine.to_batches()), most=SLICE // 2):
             texts = utf8(batch["text"])
             found = []
             for (key, value), (k, doc) in zip(tables, (words(texts), grams(texts)), strict=True):
