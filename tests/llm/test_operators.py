@@ -245,6 +245,17 @@ def test_secrets(spark, docs, table, empty):
     assert secrets.scan(empty).count() == 0 and secrets.scan(table).count() == len(docs)
 
 
+def test_secrets_of_every_alphabet():
+    rn = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (lower + digits, upper + digits, lower + "234567", upper + "234567", upper + lower + digits, upper + lower + digits + "+/"):
+        for n in (24, 32, 40, 64):
+            tokens = ["7" + "".join(rn.choice(letters) for _ in range(n - 1)) for _ in range(200)]
+            assert sum(("random", 4, 4 + n) in secrets.find(f"see {t} here") for t in tokens) > 170
+    for plain in ("documentation2documentation", "UNITEDSTATESOFAMERICA1776UNITEDSTATES", "loremipsumdolorsitamet2loremipsumdolorsitamet"):
+        assert not secrets.find(plain)
+
+
 def test_token_counts(spark, docs, table, empty):
     counter = token_counts.tokens()
     rn, letters = random.Random(6), list("ab  \n\t'st1 2.,é!")

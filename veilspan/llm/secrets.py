@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every other long token.
 
-A token's encoding is inferred from its characters (hex, base 32, letters and digits, base 64).  Its values are tested
+A token's encoding is inferred from its characters (hex, base 32 or 36 of one case, letters and digits, base 64).  Its values are tested
 against uniform random values by chi-squared over equal parts of the alphabet, a runs test and lag-one serial correlation.
 Tokens that these tests call ordinary are found by the Benjamini-Hochberg procedure within a document, with weights that
 grow with a token's length (a longer token gives the tests more power); a token that stays, and carries enough bits, is a
@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Alphabets by size; a token's is the first that has all its characters.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "alnum": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
+ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base32lower": LOWER + "234567", "base36": LOWER + DIGITS, "base36upper": UPPER + DIGITS}
+ALPHABETS |= {"alnum": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 TABLES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 
