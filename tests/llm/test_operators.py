@@ -256,6 +256,21 @@ def test_secrets_of_every_alphabet():
         assert not secrets.find(plain)
 
 
+def test_secrets_beside_separators():
+    rn = random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for before, after in (("AWS_KEY=", ""), ("?sig=", "&x=1"), ("DB_PASS=", "=="), ("a=b=", ""), ("x_y+z/", ""), ("app_v2/", "_+x")):
+        for letters in (lower + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "-_"):
+            hits = 0
+            for _ in range(100):
+                key = "7" + "".join(rn.choice(letters) for _ in range(39))
+                text = f"see {before}{key}{after} here"
+                hits += key not in secrets.redacted(text, secrets.find(text))
+            assert hits > 85
+    assert not secrets.find("see /usr/share/doc_2024-07/README+notes/index=first here")
+    assert secrets.parts("a=bcdefghij0123456789k==", 0, 24) == [(2, 24)]
+
+
 def test_token_counts(spark, docs, table, empty):
     counter = token_counts.tokens()
     rn, letters = random.Random(6), list("ab  \n\t'st1 2.,é!")

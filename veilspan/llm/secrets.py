@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every other long token.
 
-A token's encoding is inferred from its characters (hex, base 32 or 36 of one case, letters and digits, base 64).  Its values are tested
-against uniform random values by chi-squared over equal parts of the alphabet, a runs test and lag-one serial correlation.
-Tokens that these tests call ordinary are found by the Benjamini-Hochberg procedure within a document, with weights that
-grow with a token's length (a longer token gives the tests more power); a token that stays, and carries enough bits, is a
-secret.  A document's result depends on its own text only.
+A token's encoding is inferred from its characters (hex, base 32 or 36 of one case, letters and digits, base 64); a token
+that no alphabet holds is split at inner "=" and at separators, and its pieces are tokens of their own.  Their values are
+tested against uniform random values by chi-squared over equal parts of the alphabet, a runs test and lag-one serial
+correlation.  Tokens that these tests call ordinary are found by the Benjamini-Hochberg procedure within a document, with
+weights that grow with a token's length (a longer token gives the tests more power); a token that stays, and carries
+enough bits, is a secret.  A document's result depends on its own text only.
 
 Edge cases: a null text counts as empty and has no spans; overlapping spans are all reported, and merged when text is
 redacted; repeated rows are scanned alike; offsets are code points, the end exclusive.
@@ -29,13 +30,17 @@ KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Alphabets by size; a token's is the first that has all its characters.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base32lower": LOWER + "234567", "base36": LOWER + DIGITS, "base36upper": UPPER + DIGITS}
 ALPHABETS |= {"alnum": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 TABLES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
+#: Pieces between inner "=", and those between separators that base 64, its URL form, or letters and digits alone lack.
+INNER = re.compile(r"[^=]+")
+CUTS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"), re.compile(r"[^+/_-]+"))
 
 
 def normal_tail(z: float) -> float:
@@ -52,6 +57,17 @@ def encoding(token: str) -> str | None:
     return next((k for k, s in SETS.items() if chars <= s), None)
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of text[start:end]: all of it if an alphabet has all its characters, or else its pieces."""
+    if encoding(text[start:end]):
+        return [(start, end)]
+    body, out = start + len(text[start:end].rstrip("=")), []
+    for m in INNER.finditer(text, start, body):
+        a, b = m.start(), end if m.end() == body else m.end()
+        out += [(a, b)] if encoding(text[a:b]) else [c.span() for cut in CUTS for c in cut.finditer(text, a, b)]
+    return sorted({(a, b) for a, b in out if b - a >= LEAST})
+
+
 def battery(token: str, kind: str) -> float:
     """p-value of the token being uniform random text over its alphabet: three tests, combined by Bonferroni."""
     v = np.array([TABLES[kind][c] for c in token.rstrip("=")])
@@ -97,12 +113,12 @@ def find(text: str, level: float = 0.05, bits: float = 80.0) -> list[tuple[str,
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     tokens = []
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if token.isalpha() or not any(c.isdigit() for c in token) or not (kind := encoding(token)):
-            continue
-        if any(a < m.end() and m.start() < b for _, a, b in spans):
+        if not any(c.isdigit() for c in m[0]) or any(a < m.end() and m.start() < b for _, a, b in spans):
             continue
-        tokens.append((m.start(), m.end(), battery(token, kind), len(token) * math.log2(len(ALPHABETS[kind]))))
+        for a, b in parts(text, *m.span()):
+            token = text[a:b]
+            if any(c.isdigit() for c in token) and (kind := encoding(token)):
+                tokens.append((a, b, battery(token, kind), len(token) * math.log2(len(ALPHABETS[kind]))))
     if tokens:
         gone = ordinary([t[2] for t in tokens], [t[1] - t[0] for t in tokens], level)
         spans += [("random", a, b) for (a, b, _, n), out in zip(tokens, gone, strict=True) if not out and n >= bits]
