@@ -271,6 +271,40 @@ def test_secrets_beside_separators():
     assert secrets.parts("a=bcdefghij0123456789k==", 0, 24) == [(2, 24)]
 
 
+def test_secrets_beside_fixed_patterns():
+    rn = random.Random(13)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for before, after in (("1234567890123456789-", ""), ("", "-1234567890123456789"), ("0123456789abcdef_", "/0123456789abcdef"), ("x" * 25 + "-0123456789abcdef=", "")):
+        for letters in (lower + digits, lower + upper + digits):
+            hits = 0
+            for _ in range(100):
+                key = "z7" + "".join(rn.choice(letters) for _ in range(37)) + "z"
+                text = f"see {before}{key}{after} here"
+                found = secrets.find(text)
+                hits += ("random", 4 + len(before), 44 + len(before)) in found and key not in secrets.redacted(text, found)
+            assert hits > 85
+    assert not [s for s in secrets.find("see 1234567890123456789-short-name-2-0123456789abcdef") if s[0] == "random"]
+
+
+def test_what_fixed_patterns_leave():
+    rn = random.Random(14)
+    for _ in range(1000):
+        text = "".join(rn.choice("ab7-=") for _ in range(120))
+        spans = [("hex", a := rn.randrange(120), rn.randint(a + 1, 120)) for _ in range(rn.randint(0, 3))]
+        start = rn.randrange(60)
+        end = rn.randint(start, 120)
+        mask = "".join("." if any(a <= i < b for _, a, b in spans) else c for i, c in enumerate(text))
+        want = []
+        for m in re.finditer(r"[^.]+", mask[start:end]):
+            a, b = m.start() + start, m.end() + start
+            if b < end:
+                b = a + len(text[a:b].rstrip("-="))
+            if a and mask[a - 1] == ".":
+                a = b - len(text[a:b].lstrip("-="))
+            want += [(a, b)] if b - a >= secrets.LEAST else []
+        assert list(secrets.outside(text, start, end, secrets.disjoint(spans))) == want
+
+
 def test_token_counts(spark, docs, table, empty):
     counter = token_counts.tokens()
     rn, letters = random.Random(6), list("ab  \n\t'st1 2.,é!")

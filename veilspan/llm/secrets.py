@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every other long token.
 
 A token's encoding is inferred from its characters (hex, base 32 or 36 of one case, letters and digits, base 64); a token
-that no alphabet holds is split at inner "=" and at separators, and its pieces are tokens of their own.  Their values are
-tested against uniform random values by chi-squared over equal parts of the alphabet, a runs test and lag-one serial
-correlation.  Tokens that these tests call ordinary are found by the Benjamini-Hochberg procedure within a document, with
-weights that grow with a token's length (a longer token gives the tests more power); a token that stays, and carries
-enough bits, is a secret.  A document's result depends on its own text only.
+that no alphabet holds is split at inner "=" and at separators, and its pieces are tokens of their own, as is what the
+fixed patterns leave of one.  Their values are tested against uniform random values by chi-squared over equal parts of the
+alphabet, a runs test and lag-one serial correlation.  Tokens that these tests call ordinary are found by the
+Benjamini-Hochberg procedure within a document, with weights that grow with a token's length (a longer token gives the
+tests more power); a token that stays, and carries enough bits, is a secret.  A document's result depends on its own text
+only.
 
 Edge cases: a null text counts as empty and has no spans; overlapping spans are all reported, and merged when text is
 redacted; repeated rows are scanned alike; offsets are code points, the end exclusive.
@@ -13,6 +14,7 @@ redacted; repeated rows are scanned alike; offsets are code points, the end excl
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -40,6 +42,7 @@ TABLES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 #: Pieces between inner "=", and those between separators that base 64, its URL form, or letters and digits alone lack.
 INNER = re.compile(r"[^=]+")
+SEPARATORS = "+/_=-"
 CUTS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"), re.compile(r"[^+/_-]+"))
 
 
@@ -68,6 +71,32 @@ def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return sorted({(a, b) for a, b in out if b - a >= LEAST})
 
 
+def disjoint(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(text: str, start: int, end: int, cover: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what cover leaves of text[start:end], without separators next to it, if long enough."""
+    i = bisect.bisect_right(cover, start, key=lambda c: c[1])
+    while start < end:
+        a, b = cover[i] if i < len(cover) and cover[i][0] < end else (end, end)
+        left = text[start:a]
+        if a < end:
+            left = left.rstrip(SEPARATORS)
+        if i and cover[i - 1][1] == start:
+            left, start = left.lstrip(SEPARATORS), start + len(left) - len(left.lstrip(SEPARATORS))
+        if len(left) >= LEAST:
+            yield start, start + len(left)
+        start, i = b, i + 1
+
+
 def battery(token: str, kind: str) -> float:
     """p-value of the token being uniform random text over its alphabet: three tests, combined by Bonferroni."""
     v = np.array([TABLES[kind][c] for c in token.rstrip("=")])
@@ -111,11 +140,11 @@ def find(text: str, level: float = 0.05, bits: float = 80.0) -> list[tuple[str,
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    tokens = []
+    cover, tokens = disjoint(spans), []
     for m in TOKEN.finditer(text):
-        if not any(c.isdigit() for c in m[0]) or any(a < m.end() and m.start() < b for _, a, b in spans):
+        if not any(c.isdigit() for c in m[0]):
             continue
-        for a, b in parts(text, *m.span()):
+        for a, b in (p for left in outside(text, *m.span(), cover) for p in parts(text, *left)):
             token = text[a:b]
             if any(c.isdigit() for c in token) and (kind := encoding(token)):
                 tokens.append((a, b, battery(token, kind), len(token) * math.log2(len(ALPHABETS[kind]))))
