@@ -1,10 +1,12 @@
 import hashlib
+import itertools
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import FULL, LOWER, UPPER, DETECTORS
-from veilspan.functions.text import collapse_table_rows, manual_redact, redact_filename, sanitize_log, variants
+from veilspan.functions.text import collapse_table_rows, manual_pattern, manual_redact, redact_filename, sanitize_log, variants
 from veilspan.operators import runs, tables
 from veilspan.sources import files, sinks
 from veilspan.streaming.files import queue_stream, redact_stream
@@ -27,6 +29,22 @@ def test_manual(spark):
     assert tuple(df.select(new, n).first()) == ("[REDACTED_NAME] és [REDACTED_NAME], [REDACTED_NAME]né", 3)
 
 
+def test_manual_with_many_parts(spark):
+    rn = random.Random(3)
+    for value in ("Ana Anna Béla Cili Dóra Ede Fanni", "A B C D E F G H", "An An Ann B C D E"):
+        orders = [rn.sample(p := value.split(), len(p)) for _ in range(8)]
+        texts = [f"x {joint.join(o)} y" for o in orders for joint in (" ", "-", ". ", "")]
+        new, n = manual_redact(F.col("t"), value)
+        assert all(tuple(r) == ("x [REDACTED_NAME] y", 1) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(new, n).collect())
+    # four parts: the pattern of any order against the list of all orders
+    values = [" ".join(rn.choice(("A", "AB", "B", "Bá", "C")) for _ in range(4)) for _ in range(3)]
+    texts = ["".join(rn.choice(("A", "AB", "B", "BÁ", "C", " ", "-", ". ", "x")) for _ in range(9)) for _ in range(200)] + [j.join(o) for v in values for o in itertools.permutations(v.split()) for j in (" ", "-", ". ", "")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for v in values:
+        few, many = (F.regexp_replace("t", manual_pattern(v, most), "#") for most in (3, 6))
+        assert df.where(few != many).count() == 0
+
+
 def test_filename(spark):
     field = next(p for name, _, _, p in DETECTORS if name == "name_field")
     full = rf"(?<![{UPPER}{LOWER}]){FULL}(?![{UPPER}{LOWER}])"
