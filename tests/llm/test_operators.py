@@ -350,6 +350,21 @@ def plain_classes(rows):
     return {i: min((rows[k][0] for k in g if rows[k][0] is not None), default=None) for g in groups.values() for i in g}
 
 
+def test_anchors_of_texts_above_the_bound(monkeypatch):
+    rn = random.Random(15)
+    texts = [bytes(rn.randrange(256) for _ in range(n)) for n in (5000, 0, 150, 2000, 1024, 1223)]
+    texts.append(texts[0][300:4000])
+
+    def windows():
+        doc, first, n, key = substring_dedup.anchors(texts)
+        return sorted((int(d), int(f) + i, int(k)) for d, f, c, k in zip(doc, first, n, key, strict=True) for i in range(c))
+
+    want = windows()
+    assert [w[:2] for w in want] == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - substring_dedup.WIDTH + 1)]
+    monkeypatch.setattr(substring_dedup, "PLACE", np.uint64((1 << 10) - 1))
+    assert windows() == want
+
+
 def test_near_dedup(spark, docs, table, empty):
     rows = [(r[0], r[1]) for r in docs]
     want = plain_classes(rows)

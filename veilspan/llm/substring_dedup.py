@@ -32,6 +32,8 @@ WIDTH, GRAM = 200, 32
 SHARD = 1 << 20
 #: In a 64-bit value that orders grams, the low bits hold the place in the buffer (256 MB), the others the hash.
 PLACE = np.uint64((1 << 28) - 1)
+#: Longer texts are cut for their anchors.
+LONGEST = 1 << 24
 
 
 def text_id(text):
@@ -47,6 +49,13 @@ def anchors(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, np.int64)
     if not count.any():
         return none, none, none, none
+    most = min(LONGEST, int(PLACE) + 1)
+    if n > most:
+        # pieces that overlap by width - 1 bytes hold each window once
+        cuts = [(i, k) for i, c in enumerate(count) for k in range(0, int(c), most - width + 1)]
+        found = [anchors([texts[i][k : k + most]], width) for i, k in cuts]
+        docs, firsts = (np.concatenate([f[x] + c[x] for f, c in zip(found, cuts, strict=True)]) for x in (0, 1))
+        return docs, firsts, *(np.concatenate([f[x] for f in found]) for x in (2, 3))
     data = b"".join(texts) + bytes(GRAM)
     word = np.ndarray((n + GRAM - 8,), "<u8", data, strides=(1,))
     h = np.zeros(n, np.uint64)
