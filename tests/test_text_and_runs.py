@@ -45,6 +45,14 @@ def test_manual_with_many_parts(spark):
         assert df.where(few != many).count() == 0
 
 
+def test_tokens_in_tables(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, 9.0), (2, 1, 20.0, 0.0, 29.0, 9.0), (3, 2, 0.0, 0.0, 9.0, 9.0), (4, 2, 20.0, 0.0, 29.0, 9.0)], "table_id int, page int, l double, t double, r double, b double")
+    tokens = spark.createDataFrame([(10, 1, 1.0, 1.0, 2.0, 2.0, "a"), (11, 1, 3.0, 1.0, 4.0, 2.0, " "), (12, 2, 21.0, 1.0, 22.0, 2.0, " ")], "token_id int, page int, l double, t double, r double, b double, text string")
+    cells = spark.createDataFrame([(1, 30, "not"), (2, 31, "own"), (2, 32, " "), (4, 33, "not")], "table_id int, token_id int, text string")
+    got = lambda *more: sorted(tuple(r) for r in tables.tokens_in_tables(boxes, tokens, *more).collect())
+    assert got() == [(1, 10, "a")] and got(cells) == [(1, 10, "a"), (2, 31, "own")]
+
+
 def test_filename(spark):
     field = next(p for name, _, _, p in DETECTORS if name == "name_field")
     full = rf"(?<![{UPPER}{LOWER}]){FULL}(?![{UPPER}{LOWER}])"

@@ -28,11 +28,18 @@ def clamped(boxes: DataFrame) -> DataFrame:
     return out.where("r > l and b > t")
 
 
-def tokens_in_tables(tables: DataFrame, tokens: DataFrame) -> DataFrame:
-    """table_id, token_id, text: tokens with text whose center lies in a table of their page; joined by page."""
+def tokens_in_tables(tables: DataFrame, tokens: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """table_id, token_id, text: tokens with text whose center lies in a table of their page; joined by page.
+
+    cells (table_id, token_id, text): those of a table's cluster, which stand in where no token, blank or not, lies in it.
+    """
     x, y = (F.col("tok.l") + F.col("tok.r")) / 2, (F.col("tok.t") + F.col("tok.b")) / 2
     inside = (F.col("tok.page") == F.col("tab.page")) & (x >= F.col("tab.l")) & (x <= F.col("tab.r")) & (y >= F.col("tab.t")) & (y <= F.col("tab.b"))
-    return tables.alias("tab").join(tokens.where(F.trim("text") != "").alias("tok"), inside).select("tab.table_id", "tok.token_id", "tok.text")
+    found = tables.alias("tab").join(tokens.alias("tok"), inside).select("tab.table_id", "tok.token_id", "tok.text")
+    if cells is not None:
+        without = tables.select("table_id").join(found, "table_id", "left_anti")
+        found = found.unionByName(cells.join(without, "table_id", "left_semi").select("table_id", "token_id", "text"))
+    return found.where(F.trim("text") != "")
 
 
 def matched_cells(matches: DataFrame) -> DataFrame:
