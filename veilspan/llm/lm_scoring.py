@@ -335,7 +335,7 @@ def spine(parts: DataFrame, cuts: Cuts) -> DataFrame:
                     whole = ~cuts.on(child.key, bit, depth + 1)
                     below = np.bincount(np.searchsorted(level.key, upward(child.key[whole], bit)), child.weighted[whole], len(level.key))
                     m = int(mine.sum())
-                    yield pa.record_batch({"bit": np.full(m, bit, np.int32), "depth": np.full(m, depth, np.int32), "node": level.key[mine].view(np.int64), "zeros": level.zeros[mine], "ones": level.ones[mine], "below": below[mine]})
+                    yield pa.record_batch({"bit": np.full(m, bit, np.int32), "depth": np.full(m, depth, np.int32), "node": level.key[mine].view(np.int64), "zeros": level.zeros[mine], "ones": level.ones[mine], "below": below[mine].astype(float)})
 
     rows = parts.mapInArrow(run, "bit int, depth int, node long, zeros long, ones long, below double")
     return rows.groupBy("bit", "depth", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
