@@ -453,11 +453,47 @@ def test_near_dedup_in_crowded_buckets(spark):
         for _ in range(rn.choice([0, 1, 2, 3, 6])):
             w[rn.randrange(100)] = f"e{rn.randint(0, 9999)}"
         rows.append((i, " ".join(w)))
-    for listed in (300.0, 0.05):
+    for listed in (1000, 8, 1):
         got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), listed=listed).collect()}
         assert got == plain_classes(rows)
 
 
+def test_near_dedup_of_any_id(spark, monkeypatch):
+    """String ids, different texts under one id, columns with the names used inside, digests that share a half."""
+    rn = random.Random(31)
+    base = [f"w{rn.randint(0, 999)}" for _ in range(80)]
+    near, far = [*base[:40], "new", *base[41:]], [f"v{rn.randint(0, 999)}" for _ in range(80)]
+    rows = [("five", base), ("five", far), ("three", near), ("x", far), (None, near), ("y", ["single"]), (None, ["alone"]), (None, ["alone"])]
+    rows = [(i, " ".join(w), "a", "b", "c", 1) for i, w in rows]
+    d = spark.createDataFrame(rows, "doc_id string, text string, __id string, __copy string, id string, label int")
+    for bits in (64, 1):
+        if bits == 1:
+            whole = near_dedup.node_of
+            monkeypatch.setattr(near_dedup, "node_of", lambda copy, half: whole(copy, half) if half else F.pmod(whole(copy, 0), F.lit(2)))
+        got = collections.defaultdict(set)
+        for r in near_dedup.classes(d).collect():
+            got[r["label"]].add((r["doc_id"], r["class_id"]))
+        want = [{("five", "five"), ("three", "five"), (None, "five")}, {("five", "five"), ("x", "five")}, {("y", "y")}, {(None, None)}]
+        assert sorted(map(str, map(sorted, map(lambda s: map(str, s), got.values())))) == sorted(map(str, map(sorted, map(lambda s: map(str, s), want))))
+        kept = near_dedup.deduplicated(d)
+        assert kept.columns == d.columns and sorted((str(r["doc_id"]), r["text"][:1]) for r in kept.collect()) == [("None", "a"), ("five", "v"), ("five", "w"), ("y", "s")]
+
+
+def test_recall_of_planted_copies(spark):
+    """Every edited copy whose similarity is 0.8 or more is in the class of its original, whatever its length."""
+    rn = random.Random(32)
+    rows, planted = [], 0
+    for i in range(60):
+        w = [f"w{rn.randint(0, 5000)}" for _ in range(rn.choice([12, 60, 300]))]
+        e = list(w)
+        for _ in range(max(0, len(w) // 60)):
+            e[rn.randrange(len(e))] = "edit"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(e))]
+        planted += 1
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows) and sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 0.9 * planted
+
+
 def test_darts_estimate_weighted_similarity():
     rn = np.random.default_rng(1)
     a, b = rn.integers(1, 2**62, 300, dtype=np.uint64), rn.integers(1, 2**62, 60, dtype=np.uint64)

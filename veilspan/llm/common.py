@@ -49,20 +49,21 @@ def split_of_crc32(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a piece holds about `most` bytes of the column (a single longer value stays whole)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece has at most `rows` rows and about `most` bytes of the column (a single longer value
+    stays whole)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         n = len(col)
         if n == 0:
             continue
-        if col.nbytes <= most:
+        if n <= rows and col.nbytes <= most:
             yield batch
             continue
         sizes = [x or 0 for x in pa.compute.binary_length(col).to_pylist()]
         start = total = 0
         for i, size in enumerate(sizes):
-            if total and total + size > most:
+            if i - start >= rows or total and total + size > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size

@@ -7,15 +7,19 @@ a coordinate with the probability of their (weighted) Jaccard similarity.
 
 Equal bands of coordinates make candidates.  Elements that no other candidate has bound a text's similarity from above: in
 a bucket where this rules it out, it needs no comparing, and the text with the smallest share of them leads: of edited
-copies that is the one nearest to their origin.  Nothing emits all pairs of a bucket: in every round each bucket compares its
-members with one leader, in later rounds with a few, by exact Jaccard similarity; members found to be of one class need
-no more comparing, and leaders that have been compared with all others leave.  Rounds go on until every bucket holds one
-class, or until what is left is so little that the remaining pairs of different classes can be listed.  So no candidate is
-dropped.
+copies that is the one nearest to their origin.  Nothing emits all pairs of a large bucket: in every round each bucket
+compares its members with one leader, in later rounds with a few, by exact Jaccard similarity; members found to be of one
+class need no more comparing, and leaders that have been compared with all others leave.  After the first round, buckets of
+at most LISTED members list what pairs of different classes they have left, so that a member has a bounded number of them.
+Rounds go on until every bucket holds one class.  So no candidate is dropped.
+
+A text is a node, numbered by half of its 128-bit digest (by the other half where two texts share the first one); ids
+come in only at the end, and may be of any type that has an order.
 
 Edge cases: null text counts as empty; equal texts are one class at once (all empty ones too); texts without words are
-linked to equal texts only; a null id takes part, but gets no class id of its own (null if nobody in its class has an id);
-repeated rows are copies of one another; an empty table gives an empty result.
+linked to equal texts only; a null id takes part, but gives its class no id (null if nobody in its class has one); different
+texts under one id are told apart (`label` numbers the classes; class_id alone doesn't); repeated rows are copies of one
+another; an empty table gives an empty result; columns of any name pass through deduplicated() as they are.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .common import slices, table, utf8, written
 from .hashing import Batch, mix
 
 WIDTH, BANDS, ROWS, SIMILARITY = 5, 30, 5, 0.8
+#: Members of a bucket that lists its pairs; texts that are sketched at once (darts cost about 80 KB for each).
+LISTED, AT_ONCE = 32, 500
 #: Ranks below this are one cell for every element; above, cells double.
 FLOOR = 1 / 16
 ONE = np.uint64(1)
@@ -131,14 +137,16 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, width: int
     """doc_id, copy (digest of the text), bands array<long> (empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=2 << 20, rows=AT_ONCE):
             b = Batch(utf8(batch["text"]))
             doc, s, count = shingles(b, width)
             sig = signatures(doc, s, count if weighted else np.ones_like(count), b.n, n_bands * rows)
             got = bands(sig, n_bands, rows)
             some = sig[:, 0] != 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n_bands)]), pa.int32()), pa.array(got[some].ravel()))
+            ends = pa.array(np.concatenate([[0], np.cumsum(some * n_bands)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(got[some].ravel()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], lists], names=["doc_id", "copy", "bands"])
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", copy_of("text").alias("copy")).mapInArrow(run, f"doc_id {kind}, copy binary, bands array<bigint>")
@@ -149,19 +157,37 @@ def copy_of(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def node_of(copy: str, half: int) -> Column:
+    """64 bits of a digest: its first half (0) or its second one (1)."""
+    return F.conv(F.hex(F.substring(copy, 8 * half + 1, 8)), 16, -10).cast("long")
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """texts with `node`, which no two of them share."""
+    texts = written(texts.withColumn("node", node_of("copy", 0)), "texts")
+    twins = texts.groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("twin"))
+    if not twins.isEmpty():
+        other = texts.join(twins, "node", "left").withColumn("node", F.when(F.col("twin"), node_of("copy", 1)).otherwise(F.col("node")))
+        texts = written(other.drop("twin"), "texts")
+        if not texts.groupBy("node").count().where("count > 1").isEmpty():
+            raise RuntimeError("two texts share both halves of their digests with others")
+    return texts
+
+
 def sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, elements: the shingle hashes (32 bits) of the texts that take part in a comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             doc, s, _ = shingles(Batch(utf8(batch["text"])), width)
-            n = np.bincount(doc, minlength=len(batch))
-            ends = np.concatenate([[0], np.cumsum(n)])
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["node", "elements"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(batch)))]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["node"], lists], names=["node", "elements"])
+        pa.default_memory_pool().release_unused()
 
     ids = nodes.select(F.col("id"), "node", F.col("copy").alias("digest"))
-    here = F.col("doc_id").eqNullSafe(F.col("id")) & (copy_of("text") == F.col("digest"))
-    joined = docs.select("doc_id", "text").join(ids, here)
+    here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
+    joined = docs.select("doc_id", "text", copy_of("text").alias("own_digest")).join(ids, here).dropDuplicates(["node"])
     return joined.select("node", "text").mapInArrow(run, "node bigint, elements array<int>")
 
 
@@ -200,88 +226,101 @@ def at_most(a: str, b: str) -> Column:
     size, own, met = (lambda x, k=k: F.col(f"{k}{x}") for k in "sow")
     plain = F.least(size(a) - own(a), size(b) - own(b))
     others = F.least(size(a) - own(a) - met(a), size(b) - own(b) - met(b))
-    return F.when((met(a) >= 0) & (met(b) >= 0), F.least(plain, F.least(met(a), met(b)) + F.greatest(others, F.lit(0)))).otherwise(plain)
+    through = F.least(met(a), met(b)) + F.greatest(others, F.lit(0))
+    return F.when((met(a) >= 0) & (met(b) >= 0), F.least(plain, through)).otherwise(plain)
 
 
 def common(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """a, b, sa, sb (sizes), common: how many elements the texts of each pair share."""
-    both = pairs.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
+    of = lambda node, name: elements.select(F.col("node").alias(node), F.col("elements").alias(name))
+    both = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
     return both.select("a", "b", F.size("x").alias("sa"), F.size("y").alias("sb"), F.size(F.array_intersect("x", "y")).alias("common"))
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, listed: float = 300.0) -> DataFrame:
-    """doc_id, copy, class_id (the smallest id of the class) for every row of docs.
-
-    listed: remaining pairs are listed once a bound on their number is below so many times the number of texts.
-    """
+def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, label) after the links (a, b) between nodes whose labels were the given ones."""
+    if labels is None:
+        return written(components(found), "labels")
+    ends = found
+    for end, other in (("a", "b"), ("b", "a")):
+        ends = ends.withColumnRenamed(end, "node").join(labels, "node", "left").select(F.coalesce("label", "node").alias(end), other)
+    joined = components(ends).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    known = labels.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return written(known.unionByName(fresh).distinct(), "labels")
+
+
+def round_of(members: DataFrame, labels: DataFrame | None, turn: int, least: float, listed: int) -> DataFrame:
+    """The members of buckets that hold several classes, with what a round needs: label, listed (the bucket lists its
+    pairs), leads, leader (the first one)."""
+    now = members.withColumn("label", F.col("node")) if labels is None else with_labels(members, labels)
+    # leaders: the member with the smallest share of elements of its own, in later rounds more, by a threshold of hashes
+    h = F.xxhash64(F.lit(turn), F.col("node")).bitwiseAND(F.lit((1 << 40) - 1))
+    now = now.withColumn("h", h).withColumn("key", F.struct((F.col("own") / F.col("size")).alias("share"), "h", "node"))
+    lo, hi, small = F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("small")
+    open_ = now.groupBy("bucket").agg(lo, hi, small, F.count("*").alias("n"), F.min("key").alias("first")).where("lo <> hi")
+    open_ = open_.select("bucket", "n", "small", F.col("first.node").alias("leader"))
+    lead = (F.col("node") == F.col("leader")) | (F.col("h") <= (F.lit(1 << 40) / F.col("n") * (4**turn - 1)).cast("long"))
+    shared = F.col("size") - F.col("own")
+    possible = shared >= (least - 1e-9) * (F.col("size") + F.greatest("small", shared) - shared)
+    now = now.join(open_, "bucket").where(possible).withColumn("leads", lead)
+    now = now.withColumn("listed", (F.col("n") <= listed) & F.lit(turn > 0))
+    return written(now.select("bucket", "node", "size", "own", "with", "label", "leader", "leads", "listed"), "round")
+
+
+def candidates(now: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a round: leaders with the other members of their bucket, all of a listed bucket; of different
+    classes, as far as bounds on what they share allow."""
+
+    def side(x: str, rows: DataFrame) -> DataFrame:
+        named = {"node": x, "label": f"l{x}", "size": f"s{x}", "own": f"o{x}", "with": f"w{x}"}
+        return rows.select("bucket", *(F.col(k).alias(v) for k, v in named.items()), *(["listed"] if x == "a" else []))
+
+    pairs = side("a", now.where("listed or leads")).join(side("b", now), "bucket")
+    pairs = pairs.where("la <> lb and (not listed or a < b)")
+    pairs = pairs.where(at_most("a", "b") >= (least - 1e-9) * (F.col("sa") + F.col("sb") - at_most("a", "b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, listed: int = LISTED) -> DataFrame:
+    """doc_id, copy, class_id (the smallest id of the class), label (the class's own number) for every row of docs."""
     base = written(sketches(docs, n_bands, rows, width), "sketches")
-    texts = base.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    surrogate = -F.abs(F.xxhash64("copy") / 2).cast("long") - 1
-    texts = written(texts.withColumn("node", F.coalesce(F.col("id").cast("long"), surrogate)), "texts")
+    texts = numbered(base.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     members = texts.select("node", F.explode("bands").alias("bucket"))
     many = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(members.join(many, "bucket"), "members")
-    total = max(1, texts.count())
     elements = written(sets(docs, texts.join(members.select("node").distinct(), "node"), width), "elements")
     # with: elements that a text shares with its bucket's first leader (-1: not compared with it)
     members = written(members.join(facts(elements), "node").withColumn("with", F.lit(-1)), "members")
     labels, turn = None, 0
     while True:
-        now = members.withColumn("label", F.col("node")) if labels is None else with_labels(members, labels)
-        # leaders: the member with the smallest share of elements of its own, in later rounds more, by a threshold of hashes
-        h = F.xxhash64(F.lit(turn), F.col("node")).bitwiseAND(F.lit((1 << 40) - 1))
-        now = now.withColumn("h", h).withColumn("key", F.struct((F.col("own") / F.col("size")).alias("share"), "h", "node"))
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("size").alias("small"), F.min("key").alias("first"))
-        open_ = open_.where("lo <> hi").select("bucket", "n", "small", F.col("first.node").alias("leader"))
-        lead = (F.col("node") == F.col("leader")) | (F.col("h") <= (F.lit(1 << 40) / F.col("n") * (4**turn - 1)).cast("long"))
-        shared = F.col("size") - F.col("own")
-        possible = shared >= (least - 1e-9) * (F.col("size") + F.greatest("small", shared) - shared)
-        now = now.join(open_, "bucket").where(possible).withColumn("leads", lead)
-        now = written(now.select("bucket", "node", "size", "own", "with", "label", "n", "leader", "leads"), "round")
-        size = now.agg(F.sum((F.col("n") - 1) / 2).alias("pairs")).first()["pairs"]
-        if not size:
+        now = round_of(members, labels, turn, least, listed)
+        if now.isEmpty():
             break
-        last = turn > 0 and size <= listed * total
-        side = lambda x, now=now: now.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("own").alias(f"o{x}"), F.col("with").alias(f"w{x}"))
-        pairs = side("a", now if last else now.where("leads")).join(side("b"), "bucket")
-        pairs = pairs.where("la <> lb and a < b" if last else "la <> lb")
-        pairs = pairs.where(at_most("a", "b") >= (least - 1e-9) * (F.col("sa") + F.col("sb") - at_most("a", "b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        compared = written(common(pairs, elements), "compared")
-        found = compared.where(F.col("common") >= (least - 1e-12) * (F.col("sa") + F.col("sb") - F.col("common"))).select("a", "b")
-        if labels is None:
-            labels = written(components(found), "labels")
-        else:
-            ends = found
-            for end in ("a", "b"):
-                ends = ends.withColumnRenamed(end, "node").join(labels, "node", "left").select(F.coalesce("label", "node").alias(end), *[c for c in ("a", "b") if c != end])
-            joined = components(ends).select(F.col("node").alias("old"), F.col("label").alias("new"))
-            known = labels.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
-            fresh = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
-            labels = written(known.unionByName(fresh).distinct(), "labels")
-        if last:
-            break
-        members = now.where("not leads")
+        compared = written(common(candidates(now, least), elements), "compared")
+        enough = F.col("common") >= (least - 1e-12) * (F.col("sa") + F.col("sb") - F.col("common"))
+        labels = merged(labels, compared.where(enough).select("a", "b"))
+        members = now.where("not leads and not listed")
         if not turn:
             met = compared.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("common").alias("_c"))
-            members = members.join(met, (F.least("node", "leader") == F.col("_a")) & (F.greatest("node", "leader") == F.col("_b")), "left").withColumn("with", F.coalesce("_c", F.lit(-1)))
+            here = (F.least("node", "leader") == F.col("_a")) & (F.greatest("node", "leader") == F.col("_b"))
+            members = members.join(met, here, "left").withColumn("with", F.coalesce("_c", F.lit(-1)))
         members = members.select("node", "bucket", "size", "own", "with")
         turn += 1
-    if labels is None:
-        named = texts.withColumn("label", F.col("node"))
-    else:
-        named = with_labels(texts, labels)
+    named = texts.withColumn("label", F.col("node")) if labels is None else with_labels(texts, labels)
     ids = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = named.join(ids, "label").select("copy", "class_id")
+    named = named.join(ids, "label").select("copy", "class_id", "label")
     return base.select("doc_id", "copy").join(named, "copy")
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs but one of each class: that with the smallest id stays (one of them, if rows repeat it)."""
-    names = docs.columns
-    kept = classes(docs, least).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct()
-    both = docs.withColumn("__digest", copy_of("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__copy")))
-    return both.dropDuplicates(["__id", "__copy"]).select(*[F.col(f"`{c}`") for c in names])
+    one = classes(docs, least).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("one"))
+    kept = one.select(F.col("one.doc_id").alias("kept_id"), F.col("one.copy").alias("kept_copy"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.col("doc_id").alias("id"), copy_of("text").alias("digest"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_copy")))
+    return rows.dropDuplicates(["kept_id", "kept_copy"]).select("whole.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
