@@ -32,16 +32,28 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, release: bool = False) -> DataFrame:
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage, and survives the loss of executors.
 
-    release: have the driver collect its garbage now, so that Spark's cleaner drops the shuffle files that made df.
+    What the write has shuffled goes at its end; the session's own setting is put back.
     """
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    if release:
-        df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def digest_of(text: str) -> Column:
+    """16 bytes: equal for equal texts, null counting as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def split_of_crc32(col: Column, n: int) -> Column:

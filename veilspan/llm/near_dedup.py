@@ -9,9 +9,9 @@ Equal bands of coordinates make candidates.  Elements that no other candidate ha
 a bucket where this rules it out, it needs no comparing, and the text with the smallest share of them leads: of edited
 copies that is the one nearest to their origin.  Nothing emits all pairs of a large bucket: in every round each bucket
 compares its members with one leader, in later rounds with a few, by exact Jaccard similarity; members found to be of one
-class need no more comparing, and leaders that have been compared with all others leave.  After the first round, buckets of
-at most LISTED members list what pairs of different classes they have left, so that a member has a bounded number of them.
-Rounds go on until every bucket holds one class.  So no candidate is dropped.
+class need no more comparing, and leaders that have been compared with all others leave.  After the first round, a bucket
+in which at most LISTED members aren't of its largest class lists what pairs these have left, so that it has a number of
+pairs in proportion to its members.  Rounds go on until every bucket holds one class.  So no candidate is dropped.
 
 A text is a node, numbered by half of its 128-bit digest (by the other half where two texts share the first one); ids
 come in only at the end, and may be of any type that has an order.
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8, written
+from .common import digest_of, slices, table, utf8, written
 from .hashing import Batch, mix
 
 WIDTH, BANDS, ROWS, SIMILARITY = 5, 30, 5, 0.8
-#: Members of a bucket that lists its pairs; texts that are sketched at once (darts cost about 80 KB for each).
-LISTED, AT_ONCE = 32, 500
+#: Members beside the largest class of a bucket that lists its pairs; texts that are sketched at once (darts cost about 80 KB for each).
+LISTED, AT_ONCE = 128, 500
 #: Ranks below this are one cell for every element; above, cells double.
 FLOOR = 1 / 16
 ONE = np.uint64(1)
@@ -149,12 +149,7 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, width: int
         pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", copy_of("text").alias("copy")).mapInArrow(run, f"doc_id {kind}, copy binary, bands array<bigint>")
-
-
-def copy_of(text: str) -> Column:
-    """A digest of 16 bytes: equal for equal texts, null counting as empty."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return docs.select("doc_id", "text", digest_of("text").alias("copy")).mapInArrow(run, f"doc_id {kind}, copy binary, bands array<bigint>")
 
 
 def node_of(copy: str, half: int) -> Column:
@@ -187,7 +182,7 @@ def sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     ids = nodes.select(F.col("id"), "node", F.col("copy").alias("digest"))
     here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
-    joined = docs.select("doc_id", "text", copy_of("text").alias("own_digest")).join(ids, here).dropDuplicates(["node"])
+    joined = docs.select("doc_id", "text", digest_of("text").alias("own_digest")).join(ids, here).dropDuplicates(["node"])
     return joined.select("node", "text").mapInArrow(run, "node bigint, elements array<int>")
 
 
@@ -251,35 +246,44 @@ def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def round_of(members: DataFrame, labels: DataFrame | None, turn: int, least: float, listed: int) -> DataFrame:
-    """The members of buckets that hold several classes, with what a round needs: label, listed (the bucket lists its
-    pairs), leads, leader (the first one)."""
+    """The members of buckets that hold several classes, with what a round needs: label, leads, leader (the first one),
+    other (not of the bucket's largest class), listed (there are few others, whose pairs are listed)."""
     now = members.withColumn("label", F.col("node")) if labels is None else with_labels(members, labels)
     # leaders: the member with the smallest share of elements of its own, in later rounds more, by a threshold of hashes
     h = F.xxhash64(F.lit(turn), F.col("node")).bitwiseAND(F.lit((1 << 40) - 1))
     now = now.withColumn("h", h).withColumn("key", F.struct((F.col("own") / F.col("size")).alias("share"), "h", "node"))
-    lo, hi, small = F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("small")
-    open_ = now.groupBy("bucket").agg(lo, hi, small, F.count("*").alias("n"), F.min("key").alias("first")).where("lo <> hi")
-    open_ = open_.select("bucket", "n", "small", F.col("first.node").alias("leader"))
-    lead = (F.col("node") == F.col("leader")) | (F.col("h") <= (F.lit(1 << 40) / F.col("n") * (4**turn - 1)).cast("long"))
+    each = now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min("size").alias("small"), F.min("key").alias("first"))
+    most = F.max_by("label", F.struct("c", "label")).alias("most")
+    small, first = F.min("small").alias("small"), F.min("first").alias("first")
+    open_ = each.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("c").alias("n"), F.max("c").alias("c"), most, small, first).where("classes > 1")
+    open_ = open_.select("bucket", "n", "small", "most", (F.col("n") - F.col("c")).alias("others"), F.col("first.node").alias("leader"))
+    lead = (F.col("node") == F.col("leader")) | (F.col("h") <= (F.lit(1 << 40) / F.col("n") * (8**turn - 1)).cast("long"))
     shared = F.col("size") - F.col("own")
     possible = shared >= (least - 1e-9) * (F.col("size") + F.greatest("small", shared) - shared)
     now = now.join(open_, "bucket").where(possible).withColumn("leads", lead)
-    now = now.withColumn("listed", (F.col("n") <= listed) & F.lit(turn > 0))
-    return written(now.select("bucket", "node", "size", "own", "with", "label", "leader", "leads", "listed"), "round")
+    now = now.withColumn("listed", (F.col("others") <= listed) & F.lit(turn > 0)).withColumn("other", F.col("label") != F.col("most"))
+    return written(now.select("bucket", "node", "size", "own", "with", "label", "leader", "leads", "listed", "other"), "round")
 
 
 def candidates(now: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a round: leaders with the other members of their bucket, all of a listed bucket; of different
-    classes, as far as bounds on what they share allow."""
-
-    def side(x: str, rows: DataFrame) -> DataFrame:
-        named = {"node": x, "label": f"l{x}", "size": f"s{x}", "own": f"o{x}", "with": f"w{x}"}
-        return rows.select("bucket", *(F.col(k).alias(v) for k, v in named.items()), *(["listed"] if x == "a" else []))
-
-    pairs = side("a", now.where("listed or leads")).join(side("b", now), "bucket")
-    pairs = pairs.where("la <> lb and (not listed or a < b)")
-    pairs = pairs.where(at_most("a", "b") >= (least - 1e-9) * (F.col("sa") + F.col("sb") - at_most("a", "b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs (a, b) of a round: leaders, or in a listed bucket all that aren't of its largest class, with the other members
+    of their bucket; of different classes, as far as bounds on what they share allow."""
+
+    def side(x: str, rows: DataFrame, *more: str) -> DataFrame:
+        named = {"node": x, "label": f"l{x}", "size": f"s{x}", "own": f"o{x}", "with": f"w{x}"} | {c: f"{c}_{x}" for c in more}
+        return rows.select("bucket", *(F.col(k).alias(v) for k, v in named.items()))
+
+    apart = (F.col("la") != F.col("lb")) & (at_most("a", "b") >= (least - 1e-9) * (F.col("sa") + F.col("sb") - at_most("a", "b")))
+    open_ = now.where("not listed")
+    led = side("a", open_.where("leads")).join(side("b", open_), "bucket").where(apart)
+    # a pair is listed once: in the first of the listed buckets that it shares, of which a node has one for each band at most
+    listed = now.where("listed")
+    listed = listed.join(listed.groupBy("node").agg(F.collect_set("bucket").alias("mine")), "node")
+    pairs = side("a", listed.where("other"), "mine").join(side("b", listed, "mine", "other"), "bucket")
+    once = F.col("bucket") == F.array_min(F.array_intersect("mine_a", "mine_b"))
+    pairs = pairs.where(apart & (~F.col("other_b") | (F.col("a") < F.col("b"))) & once)
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return led.select(*ends).unionByName(pairs.select(*ends)).distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, listed: int = LISTED) -> DataFrame:
@@ -318,7 +322,7 @@ def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     one = classes(docs, least).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("one"))
     kept = one.select(F.col("one.doc_id").alias("kept_id"), F.col("one.copy").alias("kept_copy"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = docs.select(whole, F.col("doc_id").alias("id"), copy_of("text").alias("digest"))
+    rows = docs.select(whole, F.col("doc_id").alias("id"), digest_of("text").alias("digest"))
     rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_copy")))
     return rows.dropDuplicates(["kept_id", "kept_copy"]).select("whole.*")
 
