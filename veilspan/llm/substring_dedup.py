@@ -6,8 +6,10 @@ occurrence make a slice of less than twice the width.  Equal slices are counted
 slices of an anchor go to a shard, whose suffix array is made by induced sorting and whose permuted common prefixes tell
 which windows repeat.  Equal texts are one text from the start: any window of such a text occurs again.
 
-Memory: a shard holds the different slices of one anchor, or of many anchors up to SHARD bytes.  Texts, anchors and slices
-are told apart by 64, 64 and 128 bits of hash.
+Memory: a shard holds the different slices of one anchor, or of many anchors up to SHARD bytes.  An anchor that occurs more
+than HOT times (a common line in many surroundings) is split: each of its slices is cut again by other hashes, as the text
+was, and a piece's anchor is that of both; up to three times, as often as the number of its occurrences asks for.  Texts
+and slices are told apart by 128 bits of hash, anchors by 64 (slices that share one by chance are still told apart).
 
 Edge cases: a null text counts as empty; a text shorter than the width loses bytes to none; overlapping repeats within a
 text count; repeated rows are equal texts; an empty table gives an empty result.
@@ -23,25 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8, written
+from .common import digest_of, slices, table, utf8, written
 from .hashing import mix
 from .suffixes import repeated
 
 WIDTH, GRAM = 200, 32
 #: Bytes of slices that share a suffix array, if they belong to several anchors.
 SHARD = 1 << 20
+#: Occurrences up to which an anchor isn't split; each further time it is split from 8 times as many on.
+HOT = 4096
 #: In a 64-bit value that orders grams, the low bits hold the place in the buffer (256 MB), the others the hash.
 PLACE = np.uint64((1 << 28) - 1)
 #: Longer texts are cut for their anchors.
 LONGEST = 1 << 24
 
 
-def text_id(text):
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 16), 16, -10).cast("long")
-
-
-def anchors(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, first window, number of windows, hash) for every anchor occurrence."""
+def anchors(texts: list[bytes], width: int = WIDTH, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, first window, number of windows, hash) for every anchor occurrence; salt: which hash."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     n, grams = int(sizes.sum()), width - GRAM + 1
@@ -53,12 +53,12 @@ def anchors(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     if n > most:
         # pieces that overlap by width - 1 bytes hold each window once
         cuts = [(i, k) for i, c in enumerate(count) for k in range(0, int(c), most - width + 1)]
-        found = [anchors([texts[i][k : k + most]], width) for i, k in cuts]
+        found = [anchors([texts[i][k : k + most]], width, salt) for i, k in cuts]
         docs, firsts = (np.concatenate([f[x] + c[x] for f, c in zip(found, cuts, strict=True)]) for x in (0, 1))
         return docs, firsts, *(np.concatenate([f[x] for f in found]) for x in (2, 3))
     data = b"".join(texts) + bytes(GRAM)
     word = np.ndarray((n + GRAM - 8,), "<u8", data, strides=(1,))
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, salt, np.uint64)
     for k in range(0, GRAM, 8):
         h = (h ^ (h >> np.uint64(29)) ^ word[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
     h = mix(h)
@@ -85,19 +85,38 @@ def anchor_table(docs: DataFrame, width: int) -> DataFrame:
             if len(doc):
                 yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(doc)), pa.array(first << 16 | n), pa.array(key)], names=["id", "place", "anchor"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, place long, anchor long")
+    return docs.select("id", "text").mapInArrow(run, "id binary, place long, anchor long")
 
 
 def pieces(texts: list[bytes], lists: list[list[dict]], width: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number of the text, first window, anchor, slice) of every occurrence listed."""
+    """(number of the text, first window, anchor, slice) of every occurrence listed, those of hot anchors split."""
+    hot: list[tuple[int, int, int, bytes, int]] = []
     for i, (text, at) in enumerate(zip(texts, lists, strict=True)):
         for x in at:
             first, n = x["place"] >> 16, x["place"] & 0xFFFF
-            yield i, first, x["anchor"], text[first : first + n + width - 1]
+            piece = text[first : first + n + width - 1]
+            if x["splits"]:
+                hot.append((i, first, x["anchor"], piece, x["splits"]))
+            else:
+                yield i, first, x["anchor"], piece
+    salt = 0
+    while hot:
+        salt += 1
+        doc, first, n, key = anchors([h[3] for h in hot], width, salt * 0x5851F42D4C957F2D & (1 << 63) - 1)
+        whole = mix(np.array([h[2] for h in hot], np.int64).view(np.uint64)[doc] * np.uint64(0x9FB21C651E98DF25) + key.view(np.uint64)).view(np.int64)
+        more = []
+        for d, f, c, anchor in zip(doc.tolist(), first.tolist(), n.tolist(), whole.tolist(), strict=True):
+            i, at, _, piece, left = hot[d]
+            piece = piece[f : f + c + width - 1]
+            if left > 1:
+                more.append((i, at + f, anchor, piece, left - 1))
+            else:
+                yield i, at + f, anchor, piece
+        hot = more
 
 
 def cut(found: DataFrame, width: int) -> DataFrame:
-    """From (id, text, at array<struct<place, anchor>>): anchor, digest, slice, copies; equal ones of a batch are one row."""
+    """From (id, text, at array<struct<place, anchor, splits>>): anchor, digest, slice, copies; equal ones of a batch are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
@@ -117,11 +136,13 @@ def cut_places(found: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             ids = batch["id"].to_pylist()
-            rows = [(anchor, hashlib.md5(piece).digest(), ids[i], first) for i, first, anchor, piece in pieces(utf8(batch["text"]), batch["at"].to_pylist(), width)]
+            found = pieces(utf8(batch["text"]), batch["at"].to_pylist(), width)
+            rows = [(anchor, hashlib.md5(piece).digest(), ids[i], first) for i, first, anchor, piece in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["anchor", "digest", "id", "first"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "digest", "id", "first"])
 
-    return found.mapInArrow(run, "anchor long, digest binary, id long, first int")
+    return found.mapInArrow(run, "anchor long, digest binary, id binary, first int")
 
 
 def compared(cuts: DataFrame, width: int) -> DataFrame:
@@ -179,28 +200,30 @@ def trimmed(marked: DataFrame, width: int, keep_text: bool) -> DataFrame:
                 left = b"".join(text[a:b] for a, b in gaps)
                 rows.append((i, len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"start": a, "end": b} for a, b in spans], left if keep_text else None))
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return marked.mapInArrow(run, "id long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return marked.mapInArrow(run, "id binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>> in bytes, kept (if keep_text)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = docs.select("doc_id", "text", text_id(F.col("text")).alias("id"))
+    docs = docs.select("doc_id", "text", digest_of("text").alias("id"))
     base = written(docs.select("doc_id", "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")), "texts")
-    # read twice, and computed twice: that costs less than to keep it
+    # anchors are computed twice: that costs less than to keep them
     found = anchor_table(docs, width)
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    splits = F.when(F.col("n") > 64 * HOT, 3).when(F.col("n") > 8 * HOT, 2).when(F.col("n") > HOT, 1).otherwise(0)
+    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", splits.cast("byte").alias("splits")), "anchors")
     texts = base.groupBy("id").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"))
     # one occurrence list for each different text, of its anchors that occur again; its length is bounded by the text's
-    lists = found.join(again, "anchor").dropDuplicates(["id", "place"]).groupBy("id").agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
+    lists = found.join(again, "anchor").groupBy("id").agg(F.collect_set(F.struct("place", "anchor", "splits")).alias("at"))
     lists = lists.join(texts, "id").select(F.col("id").alias("tid"), "one", "at")
     some = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("id") == F.col("tid"))).select("id", "text", "at")
-    some = written(some, "candidates", release=True)
-    runs = written(compared(cut(some, width).repartition("anchor").sortWithinPartitions("anchor"), width), "runs", release=True)
-    marks = cut_places(some, width).join(runs, ["anchor", "digest"]).groupBy("id").agg(F.collect_list(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("at"))
+    some = written(some, "candidates")
+    runs = written(compared(cut(some, width).repartition("anchor").sortWithinPartitions("anchor"), width), "runs")
+    ends = F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    marks = cut_places(some, width).join(runs, ["anchor", "digest"]).groupBy("id").agg(F.collect_list(ends).alias("at"))
     marked = some.select("id", "text").join(marks, "id")
     gone = trimmed(marked, width, keep_text).dropDuplicates(["id"])
     out = base.join(texts.select("id", "copies"), "id").join(gone, "id", "left")
@@ -214,3 +237,15 @@ def repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> Dat
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same in SQL: every window by its digest, runs of windows that occur again, and what is left between them.
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+  w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 2 * {WIDTH})) AS k FROM (SELECT r, h, unnest(generate_series(0, n - {WIDTH})) AS i FROM d WHERE n >= {WIDTH})),
+  g AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+  f AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {WIDTH} THEN 0 ELSE 1 END AS fresh FROM g),
+  s AS (SELECT r, min(i) AS a, max(i) + {WIDTH} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM f) GROUP BY r, k),
+  o AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM s),
+  j AS (SELECT r, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS body, max(b) AS last, sum(b - a) AS gone, count(*) AS k FROM o JOIN d USING (r) GROUP BY r)
+  SELECT doc_id, cast(n AS bigint) AS n_bytes, cast(coalesce(gone, 0) AS bigint) AS n_removed, cast(coalesce(k, 0) AS bigint) AS n_spans,
+    CASE WHEN k IS NULL THEN sha256(t) ELSE sha256(unhex(body || substr(h, 2 * last + 1))) END AS kept_sha256 FROM d LEFT JOIN j USING (r)"""

@@ -1,119 +1,120 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on arrays.
 
-The scan of the array in which suffixes induce their left neighbours is done a bucket at a time: all entries that a bucket
-holds are taken together, and what they induce into the same bucket makes the next wave.  The order is that of the
-one-by-one scan.  The time is linear up to the few waves of a bucket (as many as a byte repeats in a row).
+A suffix is known by its first symbol, by how often that is repeated, and by the rank of the suffix behind the repeats.
+For suffixes larger than the next one that rank lies in a lower bucket, for smaller ones in a higher bucket; so ranks are
+induced bucket by bucket, upwards and then downwards.  Neighbouring small buckets are taken together, as one array; where
+a rank lies among those that are being made, the array is sorted again until it stands.  Leftmost-smaller substrings are
+sorted the same way and named, and the shortened text of their names is sorted by recursion, whatever its size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Most names for which the shortened text is sorted by induction again; with more, buckets are too small to be taken as
-#: arrays, and its ranks are doubled.
-MOST_NAMES = 1024
+#: Arrays that the suffixes of one type are cut into, at buckets.
+PORTIONS = 40
 
 
-def classify(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next one."""
-    n = len(t)
-    other = np.flatnonzero(t[:-1] != t[1:])
-    small = np.ones(n, bool)
-    if len(other):
-        after = other[np.minimum(np.searchsorted(other, np.arange(n - 1)), len(other) - 1)]
-        small[:-1] = t[after] < t[after + 1]
-    return small
+def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix: whether it is smaller than the next one, and how often its first symbol is repeated."""
+    end = np.append(np.flatnonzero(t[:-1] != t[1:]), len(t) - 1)
+    size = np.diff(end, prepend=-1)
+    small = np.append(t[end[:-1]] < t[end[:-1] + 1], True)
+    return np.repeat(small, size), (np.repeat(end + 1, size) - np.arange(len(t))).astype(np.int32)
 
 
 class Induction:
-    def __init__(self, t: np.ndarray, k: int, small: np.ndarray):
-        self.t, self.k, self.small = t, k, small
-        self.count = np.bincount(t, minlength=k)
-        self.end = np.cumsum(self.count)
-        self.start = self.end - self.count
-
-    def put(self, at: np.ndarray, left: bool) -> None:
-        """Append at's left neighbours of one type to their buckets, in order: at the heads, or downwards at the tails."""
-        j = at[at > 0] - 1
-        j = j[self.small[j] != left]
-        if not len(j):
-            return
-        c = self.t[j]
-        order = np.argsort(c, kind="stable")
-        j, c = j[order], c[order]
-        n = np.bincount(c, minlength=self.k)
-        rank = np.arange(len(c)) - (np.cumsum(n) - n)[c]
-        if left:
-            self.sa[self.head[c] + rank] = j
-            self.head += n
-        else:
-            self.sa[self.tail[c] - 1 - rank] = j
-            self.tail -= n
-
-    def run(self, lms: np.ndarray) -> np.ndarray:
+    def __init__(self, t: np.ndarray, k: int, small: np.ndarray, run: np.ndarray):
+        self.t, self.small, self.run = t, small, run
+        count = np.bincount(t, minlength=k)
+        self.end = np.cumsum(count)
+        self.start = self.end - count
+        large = np.flatnonzero(~small).astype(np.int32)
+        self.large = self.dealt(large, self.start)
+        some = np.flatnonzero(small[:-1]).astype(np.int32)
+        self.smaller = self.dealt(some, self.end - np.bincount(t[some], minlength=k))
+
+    def dealt(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffixes by bucket, their buckets, the places in the suffix array that they have together)."""
+        c = self.t[at]
+        order = np.argsort(c.astype(np.uint16) if len(self.end) <= 1 << 16 else c, kind="stable")
+        c = c[order]
+        edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        rank = np.arange(len(c)) - np.repeat(edge, np.diff(np.append(edge, len(c))))
+        return at[order], c, (first[c] + rank).astype(np.int32)
+
+    def portions(self, c: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(from, to) of neighbouring buckets, about as many suffixes in each."""
+        if len(c):
+            edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
+            aim = np.arange(0, len(c), max(1, len(c) // PORTIONS))
+            cut = np.unique(np.append(edge[np.searchsorted(edge, aim)], len(c))).tolist()
+            yield from zip(cut, cut[1:], strict=False)
+
+    def induce(self, at: np.ndarray, c: np.ndarray, place: np.ndarray, upwards: bool) -> None:
+        """Ranks of the suffixes of neighbouring buckets."""
+        run = self.run[at]
+        after = at + run
+        low, high = int(c[0]), int(c[-1])
+        among = ~self.small[after] & (self.t[after] >= low) if upwards else self.small[after] & (self.t[after] <= high)
+        again = low < high and bool(among.any())
+        if again:
+            self.pos[at], self.sa[place] = place, at
+        bits, longest = len(self.t).bit_length(), int(run.max())
+        repeats = (run if upwards else longest - run).astype(np.uint64)
+        width = longest.bit_length()
+        fits = bits + width + (high - low).bit_length() <= 64
+        head = (c - low).astype(np.uint64) << np.uint64(width) | repeats if fits else None
+        while True:
+            if fits:
+                key = np.sort(head << np.uint64(bits) | self.pos[after].astype(np.uint64))
+                r = (key >> np.uint64(bits) & np.uint64((1 << width) - 1)).astype(np.int32)
+                new = self.sa[(key & np.uint64((1 << bits) - 1)).astype(np.int64)] - (r if upwards else longest - r)
+            else:
+                new = at[np.lexsort((self.pos[after], repeats, c))]
+            same = not again or np.array_equal(new, self.sa[place])
+            self.pos[new], self.sa[place] = place, new
+            if same:
+                return
+
+    def array(self, lms: np.ndarray) -> np.ndarray:
         """All suffixes, induced from the leftmost-smaller ones in the order given."""
-        self.sa = np.full(len(self.t), -1, np.int64)
-        c = self.t[lms]
-        lms = lms[np.argsort(c, kind="stable")]
-        n = np.bincount(c, minlength=self.k)
-        seeds, at = [], 0
-        for m in n:
-            seeds.append(lms[at : at + m])
-            at += m
-        self.head, self.tail = self.start.copy(), self.end.copy()
-        used = np.flatnonzero(self.count).tolist()
-        for c in used:
-            low = self.start[c]
-            while low < self.head[c]:
-                low, wave = self.head[c], self.sa[low : self.head[c]]
-                self.put(wave, True)
-            self.put(seeds[c], True)
-        self.tail[0] -= 1
-        self.sa[0] = len(self.t) - 1
-        for c in reversed(used):
-            high = self.end[c]
-            while self.tail[c] < high:
-                high, wave = self.tail[c], self.sa[self.tail[c] : high][::-1]
-                self.put(wave, False)
-            self.put(self.sa[self.start[c] : self.head[c]][::-1], False)
+        n, k = len(self.t), len(self.end)
+        self.pos, self.sa = np.zeros(n, np.int32), np.full(n, n - 1, np.int32)
+        at, _, place = self.dealt(lms.astype(np.int32), self.end - np.bincount(self.t[lms], minlength=k))
+        self.pos[at], self.sa[place] = place, at
+        at, c, place = self.large
+        for a, b in self.portions(c):
+            self.induce(at[a:b], c[a:b], place[a:b], True)
+        at, c, place = self.smaller
+        for a, b in reversed(list(self.portions(c))):
+            self.induce(at[a:b], c[a:b], place[a:b], False)
         return self.sa
 
 
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks."""
-    n, step = len(t), 1
-    rank = t.astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if new.sum() == n - 1:
-            return order
-        step *= 2
-
-
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """t: symbols below k, the last one 0 and the only 0."""
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
-    small = classify(t)
+        return np.zeros(1, np.int32)
+    small, run = classify(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    induction = Induction(t, k, small)
-    sa = induction.run(lms)
+    induction = Induction(t, k, small, run)
+    sa = induction.array(lms)
     if len(lms) < 2:
         return sa
-    place = np.full(n, -1, np.int64)
+    place = np.full(n, -1, np.int32)
     place[lms] = np.arange(len(lms))
-    order = sa[place[sa] >= 0]
+    which = place[sa]
+    which = which[which >= 0]
+    order = lms[which]
     length = np.append(np.diff(lms), 0) + 1
-    a, b = order[:-1], order[1:]
-    size = length[place[a]]
-    same = size == length[place[b]]
+    size = length[which]
+    # neighbours are compared symbol by symbol, as far as they agree
+    a, b, size = order[:-1], order[1:], size[:-1]
+    same = size == length[which[1:]]
     live, d = np.flatnonzero(same), 0
     while len(live):
         equal = t[a[live] + d] == t[b[live] + d]
@@ -124,9 +125,9 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     names = np.concatenate([[0], np.cumsum(~same)])
     if names[-1] + 1 < len(lms):
         short = np.empty(len(lms), np.int64)
-        short[place[order]] = names
-        order = lms[suffix_array(short, int(names[-1]) + 1) if names[-1] < MOST_NAMES else doubled(short)]
-    return induction.run(order)
+        short[which] = names
+        order = lms[suffix_array(short, int(names[-1]) + 1)]
+    return induction.array(order)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
