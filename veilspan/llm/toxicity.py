@@ -10,7 +10,8 @@ which `per_class` of each label are used, picked by a hash of the id; the score
 
 Edge cases: null and empty texts get the score of a text without any match; a null id counts as empty text for the split;
 labels that are null or neither 0 nor 1 are left out; with no usable label, or those of one kind only, the seeds and the prior weights
-stand alone; repeated rows are scored alike; other columns are never read.
+stand alone; repeated rows, and ties, are scored alike; other columns are never read: what score() adds gets underscores where
+its name is taken; a clause without an end is as long as its text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -137,14 +138,14 @@ class Matcher:
             first = last - n + 1
             if first < done or first and low[first - 1].isalpha():
                 continue
+            # no clause is read twice, whether it matches or not: a text takes time in proportion to its length
             start = max(done, *(low.rfind(c, done, first) + 1 for c in ".!?;\n"))
-            end = m.start() if (m := END.search(low, last)) else len(low)
-            if found := self.read(WORDS.findall(low, start, end)):
-                out.append((start, end, found))
-                done = end
+            done = m.start() if (m := END.search(low, last)) else len(low)
+            if found := self.read(m[0] for m in WORDS.finditer(low, start, done)):
+                out.append((start, done, found))
         return out
 
-    def read(self, words: list[str]) -> list[tuple[str, float]]:
+    def read(self, words: Iterable[str]) -> list[tuple[str, float]]:
         state, found = 0, []
         for w in words:
             x = self.insult(w)
@@ -255,10 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_entries:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of docs, and toxicity double, toxic_clauses array<struct<start, end, kinds>>, rejected boolean."""
-    extra = "toxicity double, rejected boolean, toxic_clauses array<struct<start:int,end:int,kinds:string>>"
-    own = [f.name for f in docs.schema.fields if f.name not in ("toxicity", "rejected", "toxic_clauses")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in own])
+    """All columns of docs, and toxicity double, toxic_clauses array<struct<start, end, kinds>>, rejected boolean; a name
+    that docs has already gets underscores.
+    """
+    names = ["toxicity", "rejected", "toxic_clauses"]
+    for i, name in enumerate(names):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        names[i] = name
+    kinds = "double", "boolean", "array<struct<start:int,end:int,kinds:string>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kinds", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +272,23 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for batch in slices(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             s = model.score([m.features(t) for t in texts])
-            clauses = [[{"start": a, "end": b, "kinds": "".join(k for k, _ in f)} for a, b, f in m.clauses(t)] if x >= threshold else [] for t, x in zip(texts, s, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold), pa.array(clauses, kind)], names=[*batch.schema.names, "toxicity", "rejected", "toxic_clauses"])
+            clauses = [m.clauses(t) if x >= threshold else [] for t, x in zip(texts, s, strict=True)]
+            told = [[{"start": a, "end": b, "kinds": "".join(k for k, _ in f)} for a, b, f in c] for c in clauses]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold), pa.array(told, kind)], names=[*batch.schema.names, *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [extra])
-    return docs.mapInArrow(run, schema)
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    return docs.mapInArrow(run, ", ".join([*schema, *(f"{n} {k}" for n, k in zip(names, kinds, strict=True))]))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below the threshold, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.matcher()
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.score([m.features(t or "") for t in batch["text"].to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
