@@ -3,10 +3,12 @@
 A token's encoding is inferred from its characters (hex, base 32 or 36 of one case, letters and digits, base 64); a token
 that no alphabet holds is split at inner "=" and at separators, and its pieces are tokens of their own, as is what the
 fixed patterns leave of one.  Their values are tested against uniform random values by chi-squared over equal parts of the
-alphabet, a runs test and lag-one serial correlation.  Tokens that these tests call ordinary are found by the
-Benjamini-Hochberg procedure within a document, with weights that grow with a token's length (a longer token gives the
-tests more power); a token that stays, and carries enough bits, is a secret.  A document's result depends on its own text
-only.
+alphabet, a runs test and lag-one serial correlation: a token that these reject isn't random.  Of the others, those are
+secrets that can't be ordinary: a token's probability under plain models of ordinary ones (letters by their frequency in
+runs of one class, repeats, counting up) over that under its alphabet is a p-value for being ordinary, which falls with
+every further random character, so that length counts on an absolute scale, for a single token as well.  The
+Benjamini-Hochberg procedure over a document's tokens keeps the expected share of ordinary ones among those reported below
+a level.  A document's result depends on its own text only.
 
 Edge cases: a null text counts as empty and has no spans; overlapping spans are all reported, and merged when text is
 redacted; repeated rows are scanned alike; offsets are code points, the end exclusive.
@@ -43,6 +45,11 @@ SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 #: Pieces between inner "=", and those between separators that base 64, its URL form, or letters and digits alone lack.
 INNER = re.compile(r"[^=]+")
 SEPARATORS = "+/_=-"
+#: How often letters are found in a hundred thousand of ordinary text.
+LETTERS = dict(a=8167, b=1492, c=2782, d=4253, e=12702, f=2228, g=2015, h=6094, i=6966, j=153, k=772, l=4025, m=2406, n=6749, o=7507, p=1929, q=95, r=5987, s=6327, t=9056, u=2758, v=978, w=2360, x=150, y=1974, z=74)
+LOG_LETTERS = {c: math.log(n / sum(LETTERS.values())) for c, n in LETTERS.items()}
+#: Logarithms of a character's probability to be of the same class as the one before, and of one of the three others.
+STAY, LEAVE = math.log(0.9), math.log(0.1 / 3)
 CUTS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"), re.compile(r"[^+/_-]+"))
 
 
@@ -119,21 +126,44 @@ def battery(token: str, kind: str) -> float:
     return min(1.0, 3 * min(uniform, run, serial))
 
 
-def ordinary(p: list[float], lengths: list[int], level: float) -> list[bool]:
-    """Benjamini-Hochberg on p over weights: which tokens are rejected as random text."""
-    m = len(p)
-    w = np.array(lengths, float)
-    q = np.array(p) / (w * m / w.sum())
-    order = np.argsort(q, kind="stable")
-    passed = np.flatnonzero(q[order] <= level * np.arange(1, m + 1) / m)
-    out = np.zeros(m, bool)
-    if len(passed):
-        out[order[: passed[-1] + 1]] = True
-    return out.tolist()
+def log_ordinary(token: str) -> float:
+    """Logarithm of the largest probability that a plain model of ordinary tokens gives the token.
+
+    In each, a character is new or follows the one before: it stays in its class (capitals, small letters, digits,
+    separators) nine times of ten; or it is that one again, or the next one by code, every second time.
+    """
+    spelled = again = 0.0
+    last, kind = "", ""
+    for c in token:
+        now = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "/"
+        own = LOG_LETTERS[c.lower()] if now in "aA" else -math.log(10) if now == "0" else -math.log(len(SEPARATORS))
+        fresh = own + (STAY if now == kind else LEAVE)
+        spelled += fresh
+        follows = last and (c == last or ord(c) == ord(last) + 1)
+        again += math.log(0.5 * math.exp(fresh) + (0.25 if follows else 0.0))
+        last, kind = c, now
+    return max(spelled, again)
+
+
+def ordinary(token: str, kind: str) -> float:
+    """p-value of the token being ordinary: Markov's bound on how much likelier its alphabet makes it."""
+    token = token.rstrip("=")
+    return math.exp(min(0.0, log_ordinary(token) + len(token) * math.log(len(ALPHABETS[kind]))))
+
+
+def discovered(p: list[float], level: float) -> list[bool]:
+    """Benjamini-Hochberg: which hypotheses are rejected."""
+    order = sorted(range(len(p)), key=p.__getitem__)
+    most = max((k for k, i in enumerate(order, 1) if p[i] <= level * k / len(p)), default=0)
+    out = [False] * len(p)
+    for i in order[:most]:
+        out[i] = True
+    return out
 
 
-def find(text: str, level: float = 0.05, bits: float = 80.0) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind."""
+def find(text: str, level: float = 0.01, random: float = 0.01, bits: float = 80.0) -> list[tuple[str, int, int]]:
+    """(kind, start, end) by start, then kind.  level: share of ordinary tokens among random ones reported; random: share of
+    random tokens that the battery may reject; bits: least size of a random one."""
     low, spans = text.lower(), []
     if any(k in low for k in KEYS):
         spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -147,10 +177,10 @@ def find(text: str, level: float = 0.05, bits: float = 80.0) -> list[tuple[str,
         for a, b in (p for left in outside(text, *m.span(), cover) for p in parts(text, *left)):
             token = text[a:b]
             if any(c.isdigit() for c in token) and (kind := encoding(token)):
-                tokens.append((a, b, battery(token, kind), len(token) * math.log2(len(ALPHABETS[kind]))))
+                uniform = len(token) * math.log2(len(ALPHABETS[kind])) >= bits and battery(token, kind) >= random
+                tokens.append((a, b, ordinary(token, kind) if uniform else 1.0))
     if tokens:
-        gone = ordinary([t[2] for t in tokens], [t[1] - t[0] for t in tokens], level)
-        spans += [("random", a, b) for (a, b, _, n), out in zip(tokens, gone, strict=True) if not out and n >= bits]
+        spans += [("random", a, b) for (a, b, _), out in zip(tokens, discovered([t[2] for t in tokens], level), strict=True) if out]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
