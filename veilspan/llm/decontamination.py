@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, written
 
 WORDS = re.compile(r"[^\W_]+")
 #: Share of an item's characters that may be edited.
@@ -178,23 +178,26 @@ class Finder:
         return out
 
 
-def in_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most BLOCK characters (or one longer item)."""
-    blocks: list[list[tuple[int, str]]] = []
-    held = BLOCK
+def in_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most BLOCK characters (or one longer item), one after another: the driver holds one, and the
+    partition that it is read from."""
+    block: list[tuple[int, str]] = []
+    held = 0
     for r in items.where("text is not null and text <> ''").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if held + len(r["text"]) > BLOCK:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
+        if block and held + len(r["text"]) > BLOCK:
+            yield block
+            block, held = [], 0
+        block.append((r["item_id"], r["text"]))
         held += len(r["text"])
-    return blocks
+    if block:
+        yield block
 
 
 def contamination(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
     """doc_id, item_id, edits, start, end (code points of the text): the best occurrence of each item in each document.
 
-    Items go out in blocks of a fixed number of characters, each with a pass of its own.
+    Items go out in blocks of a fixed number of characters.  Each block has a pass of its own, whose result is written if
+    there are several, so that one automaton at a time is in a task's memory.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -215,15 +218,20 @@ def contamination(docs: DataFrame, items: DataFrame, errors: float = ERRORS) ->
 
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, start int, end int")
 
-    found = [one(b) for b in in_blocks(items)] or [one([])]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    blocks = in_blocks(items)
+    out, more = one(next(blocks, [])), next(blocks, None)
+    if more:
+        out = written(out, "contamination")
+    while more:
+        out, more = out.unionByName(written(one(more), "contamination")), next(blocks, None)
     return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of docs in whose text no item occurs; nothing moves between tasks."""
+    """The rows of docs in whose text no item occurs; nothing moves between tasks.
+
+    What a block of items leaves is written before the next one comes, for the same reason.
+    """
 
     def keep(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +241,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, errors: float = ERRORS) ->
 
         return run
 
-    for b in in_blocks(items):
-        docs = docs.mapInArrow(keep(b), docs.schema)
+    for i, block in enumerate(in_blocks(items)):
+        docs = (written(docs, "decontaminated") if i else docs).mapInArrow(keep(block), docs.schema)
     return docs
 
 
