@@ -15,12 +15,13 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, written
 
 #: Vocabulary file (tiktoken ranks) by default, of the installed package of public tokenizers.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -63,17 +64,36 @@ def tokens(path: str | None = None) -> Tokens:
     return Tokens(path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def unpacked(data: bytes) -> tuple[list[int], list[int]]:
+    n = int.from_bytes(data[:4], "little")
+    codes = np.frombuffer(data, np.uint8, n, 4)
+    size, count = (codes >> 3).astype(np.int64), (codes & 7).astype(np.int64)
+    size[codes == 255], count[codes == 255] = np.frombuffer(data, "<u4", offset=4 + n).reshape(2, -1)
+    return size.tolist(), count.tolist()
+
+
 class Tree:
     """A text's pre-tokens in leaves, and a segment tree of their sums: sums[i] is that of sums[2i] and sums[2i + 1]."""
 
-    def __init__(self, text: str, counter: Tokens):
-        self.text, self.counter = text, counter
-        pieces = counter.pattern.findall(text)
-        sizes, counts = [len(p) for p in pieces], counter.count(pieces)
-        self.leaves = [(sizes[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
-        self.encoded = len(pieces)
+    def __init__(self, text: str, counter: Tokens, kept: bytes | None = None):
+        """kept: what packed() gave for this text; without it, the text is encoded."""
+        self.text, self.counter, self.encoded = text, counter, 0
+        if kept is None:
+            pieces = counter.pattern.findall(text)
+            sizes, counts = [len(p) for p in pieces], counter.count(pieces)
+            self.encoded = len(pieces)
+        else:
+            sizes, counts = unpacked(kept)
+        self.leaves = [(sizes[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(sizes), LEAF)] or [([], [])]
         self.build()
 
+    def packed(self) -> bytes:
+        """Sizes and counts of the pre-tokens, a byte for both unless they are large."""
+        size, count = (np.array([n for leaf in self.leaves for n in leaf[k]], np.uint32) for k in (0, 1))
+        small = (size < 32) & (count < 8) & ((size != 31) | (count != 7))
+        codes = np.where(small, size << 3 | count, 255).astype(np.uint8)
+        return len(codes).to_bytes(4, "little") + codes.tobytes() + np.stack([size[~small], count[~small]]).astype("<u4").tobytes()
+
     def build(self) -> None:
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = [(0, 0)] * (2 * self.base)
@@ -157,34 +177,54 @@ class Tree:
         return len(pieces)
 
 
-def count(docs: DataFrame, edits: str | None = None, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_pretokens, and after the edits in the column of that name, array<struct<start, end, text>>:
-    edited_tokens, reencoded (pre-tokens), edited_text."""
-    cols = ["doc_id", "text", *([edits] if edits else [])]
+def trees(docs: DataFrame, path: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_tokens, n_pretokens, tree binary for every row; and more columns of docs, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = tokens(path)
+        for batch in slices(batches):
+            made = [Tree(t or "", counter) for t in batch["text"].to_pylist()]
+            columns = [batch["doc_id"], batch["text"], *(pa.array(c, pa.int64()) for c in ([t.total for t in made], [t.encoded for t in made])), pa.array([t.packed() for t in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch[c] for c in more)], names=["doc_id", "text", "n_tokens", "n_pretokens", "tree", *more])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more]
+    schema = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "text string", "n_tokens long", "n_pretokens long", "tree binary", *kinds]
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(schema))
+
+
+def edited(kept: DataFrame, edits: str, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens (before), edited_tokens, reencoded (pre-tokens), edited_text, tree (after) for rows of
+    trees() with a column of edits, array<struct<start, end, text>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = tokens(path)
         for batch in slices(batches):
             rows = []
-            todo = batch[edits].to_pylist() if edits else [None] * len(batch)
-            for text, changes in zip(batch["text"].to_pylist(), todo, strict=True):
-                tree = Tree(text or "", counter)
-                n, again = tree.total, 0
+            for text, tree, changes in zip(*(batch[c].to_pylist() for c in ("text", "tree", edits)), strict=True):
+                now, again = Tree(text or "", counter, tree), 0
                 for e in changes or ():
                     if e and e["start"] is not None and e["end"] is not None and e["start"] <= e["end"]:
-                        again += tree.edit(e["start"], e["end"], e["text"] or "")
-                rows.append((n, tree.encoded, tree.total, again, tree.text))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True))], names=["doc_id", "n_tokens", "n_pretokens", "edited_tokens", "reencoded", "edited_text"])
+                        again += now.edit(e["start"], e["end"], e["text"] or "")
+                rows.append((now.total, again, now.text, now.packed() if again else tree))
+            new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], batch["n_pretokens"], *new], names=["doc_id", "n_tokens", "n_pretokens", "edited_tokens", "reencoded", "edited_text", "tree"])
+
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    cut = kept.select("doc_id", "text", "n_tokens", "n_pretokens", "tree", edits)
+    return cut.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long, edited_tokens long, reencoded long, edited_text string, tree binary")
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(*cols).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long, edited_tokens long, reencoded long, edited_text string")
+def count(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens for every row."""
+    return trees(docs, path).drop("text", "tree")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts for every document, before and after three edits: at a quarter "re-" goes in, at half three characters go,
-    at three quarters two characters become " 42"."""
+    """Counts for every document, before and after three edits to its kept tree: at a quarter "re-" goes in, at half three
+    characters go, at three quarters two characters become " 42"."""
     n = F.length(F.coalesce("text", F.lit("")))
     at = lambda share: F.floor(n * share).cast("int")
     edit = lambda share, gone, new: F.struct(at(share).alias("start"), (at(share) + gone).alias("end"), F.lit(new).alias("text"))
-    docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(edit(0.25, 0, "re-"), edit(0.5, 3, ""), edit(0.75, 2, " 42")))
-    return count(docs, "edits").select("doc_id", "n_tokens", "n_pretokens", "edited_tokens", "reencoded", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))
+    kept = written(trees(table(spark, sf_dir, "documents")), "trees")
+    after = edited(kept.withColumn("edits", F.array(edit(0.25, 0, "re-"), edit(0.5, 3, ""), edit(0.75, 2, " 42"))), "edits")
+    return after.select("doc_id", "n_tokens", "n_pretokens", "edited_tokens", "reencoded", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))
