@@ -1,11 +1,14 @@
 """Media columns: MPEG transport streams that carry a document's bytes.
 
 to_media() stores each payload in packetised elementary stream (PES) packets with timestamps, cut into transport packets
-of 188 bytes behind a program association and a program map table.  read_media() parses the tables, checks continuity
-counters, puts the PES packets together again and gives payload, timestamps and random-access points.
+of 188 bytes behind a program association and a program map table.  read_media() parses the tables (over several packets, and again wherever they change), checks continuity counters, puts the
+PES packets of the first program's first stream together again and gives payload, timestamps and random-access points.
 
 Edge cases: a null text counts as empty; an empty payload is 64 zero bytes; a broken stream (bad sync, table checksum or
-a missing table) gives a null payload and says so in `error`; a jump of the continuity counter is counted.
+a missing table) gives a null payload and says so in `error`; a jump of the continuity counter is counted unless the stream
+announces it, and a packet that is legally sent twice counts once; a PES packet that isn't whole is counted and left out,
+the payload is what the others hold, and `error` says so; one without a length goes on to the next; repeated rows are
+streams of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,58 +110,107 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def section(packet: bytes) -> bytes:
-    """The checked body of the program table in a packet."""
-    at = 5 + packet[4]
-    size = (packet[at + 1] & 0x0F) << 8 | packet[at + 2]
-    data = packet[at : at + 3 + size]
-    if len(data) < 12 or section_crc(data):
-        raise ValueError("table checksum")
-    return data[8:-4]
+def sections(rows: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes]]:
+    """(packet, checked body) of each table section in the packets `at` of one table's stream, those that change nothing
+    left out."""
+    out: list[tuple[int, bytes]] = []
+    held, before = b"", b""
+
+    def whole(k: int) -> None:
+        nonlocal held
+        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+            data, held = held[:size], held[size:]
+            if size < 12 or section_crc(data):
+                raise ValueError("table checksum")
+            if not out or out[-1][1] != data[8:-4]:
+                out.append((k, data[8:-4]))
+
+    for k in at.tolist():
+        p = rows[k].tobytes()
+        if not p[3] & 0x10 or p[4:] == before:
+            continue
+        before, data = p[4:], p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+        if p[1] & 0x40:
+            rest, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if held:
+                held += rest
+                whole(k)
+            held = b""
+        elif not held:
+            continue
+        held += data
+        whole(k)
+    return out
+
+
+def streams(rows: np.ndarray, pid: np.ndarray) -> np.ndarray:
+    """For each packet the stream in which the first program's payload then is, as the tables so far say."""
+    tables: list[tuple[int, int]] = []
+    for k, body in sections(rows, np.flatnonzero(pid == 0)):
+        programs = ((int.from_bytes(body[i : i + 2], "big"), int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(body), 4))
+        tables += [(k, next(p for n, p in programs if n))]
+    if not tables:
+        raise ValueError("no program association table")
+    out, first = np.full(len(rows), -1, np.int32), True
+    for i, (k, table) in enumerate(tables):
+        end = tables[i + 1][0] if i + 1 < len(tables) else len(rows)
+        maps = np.flatnonzero(pid[:end] == table)
+        for j, body in sections(rows, maps[maps >= k] if i else maps):
+            stream = body[4 + (int.from_bytes(body[2:4], "big") & 0x0FFF) :]
+            out[0 if first else j :] = int.from_bytes(stream[1:3], "big") & 0x1FFF
+            first = False
+    if first:
+        raise ValueError("no program map table")
+    return out
 
 
 def demux(media: bytes) -> dict:
-    """payload, packets, pes, jumps (of the continuity counter), pts list, rap list of (packet, pts)."""
+    """payload, packets, pes, jumps (of the continuity counter), broken (PES packets that aren't whole), pts list, rap list
+    of (packet, pts)."""
     if not media or len(media) % PACKET:
         raise ValueError("length")
     a = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (a[:, 0] != SYNC).any():
         raise ValueError("sync")
     pid = (a[:, 1] & 0x1F).astype(np.int32) << 8 | a[:, 2]
-    found = np.flatnonzero(pid == 0)
-    if not len(found):
-        raise ValueError("no program association table")
-    body = section(a[found[0]].tobytes())
-    programs = {int.from_bytes(body[i : i + 2], "big"): int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(body), 4)}
-    found = np.flatnonzero(pid == next(p for n, p in programs.items() if n))
-    if not len(found):
-        raise ValueError("no program map table")
-    body = section(a[found[0]].tobytes())
-    stream = body[4 + (int.from_bytes(body[2:4], "big") & 0x0FFF) :]
-    es_pid = int.from_bytes(stream[1:3], "big") & 0x1FFF
-    at = np.flatnonzero(pid == es_pid)
+    at = np.flatnonzero((pid == streams(a, pid)) & (a[:, 1] & 0x80 == 0))
     e = a[at]
-    has = e[:, 3] & 0x10 != 0
-    count = e[:, 3] & 15
-    jumps = int(((count[1:] - count[:-1] & 15) != has[1:]).sum())
+    has, count = e[:, 3] & 0x10 != 0, e[:, 3] & 15
     field = np.where(e[:, 3] & 0x20 != 0, e[:, 4].astype(np.int64) + 1, 0)
+    flags = np.where(field > 1, e[:, 5], 0)
+    step = np.append([1], count[1:] - count[:-1] & 15)
+    twice = np.flatnonzero((step == 0) & has)
+    if len(twice):
+        # a packet may come twice, the same but for its clock
+        same = e[twice] == e[twice - 1]
+        same[:, 6:12] |= (flags[twice] & 0x10 != 0)[:, None]
+        one = np.ones(len(e), bool)
+        one[twice[same.all(axis=1)]] = False
+        at, e, has, count, field, flags = (x[one] for x in (at, e, has, count, field, flags))
+        step = np.append([1], count[1:] - count[:-1] & 15)
+    jump = (step != has) & (flags & 0x80 == 0)
+    jump[:1] = False
     skip = np.where(has, 4 + field, PACKET)
-    keep = np.arange(PACKET)[None, :] >= skip[:, None]
-    data = e[keep].tobytes()
+    data = e[np.arange(PACKET)[None, :] >= skip[:, None]].tobytes()
     ends = np.cumsum(PACKET - skip)
     starts = np.flatnonzero(e[:, 1] & 0x40)
-    random = (field > 1) & (e[:, 5] & 0x40 != 0)
     begin = (ends[starts] - (PACKET - skip[starts])).tolist()
-    parts, pts, rap = [], [], []
+    lost = np.add.reduceat(np.append(jump, False), np.append(starts, len(e)))[:-1] - jump[starts] if len(starts) else starts
+    parts, pts, rap, broken = [], [], [], 0
     for k, (i, j) in enumerate(zip(begin, [*begin[1:], len(data)], strict=True)):
         p = data[i : i + 14]
-        if p[:3] != b"\x00\x00\x01" or int.from_bytes(p[4:6], "big") != j - i - 6:
-            raise ValueError("PES packet")
-        parts.append(data[i + 9 + p[8] : j])
-        pts.append((p[9] & 0x0E) << 29 | p[10] << 22 | (p[11] & 0xFE) << 14 | p[12] << 7 | p[13] >> 1)
-        if random[starts[k]]:
+        size = int.from_bytes(p[4:6], "big")
+        if len(p) < 9 or p[:3] != b"\x00\x00\x01" or lost[k] or size and i + 6 + size > j:
+            broken += 1
+            continue
+        if p[3] == 0xBE:  # padding
+            continue
+        parts.append(data[i + 9 + p[8] : i + 6 + size if size else j])
+        stamped = p[7] & 0x80 and len(p) == 14
+        pts.append((p[9] & 0x0E) << 29 | p[10] << 22 | (p[11] & 0xFE) << 14 | p[12] << 7 | p[13] >> 1 if stamped else None)
+        if flags[starts[k]] & 0x40:
             rap.append((int(at[starts[k]]), pts[-1]))
-    return {"payload": b"".join(parts), "packets": len(a), "pes": len(parts), "jumps": jumps, "pts": pts, "rap": rap}
+    return {"payload": b"".join(parts), "packets": len(a), "pes": len(parts), "jumps": int(jump.sum()), "broken": broken, "pts": pts, "rap": rap}
 
 
 def padded(data: bytes) -> bytes:
@@ -195,6 +247,8 @@ def read_media(media: DataFrame, payload: bool = True) -> DataFrame:
                     d = demux(m)
                     p = d["payload"]
                     row |= {"payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-64:]), "payload": p if payload else None}
+                    if d["jumps"] or d["broken"]:
+                        row["error"] = f"{d['jumps']} jumps, {d['broken']} broken PES packets"
                     row |= {k: d[k] for k in ("packets", "pes", "jumps", "pts")} | {"random_access": [{"packet": a, "pts": b} for a, b in d["rap"]]}
                 except (ValueError, StopIteration, IndexError) as e:
                     row["error"] = str(e) or type(e).__name__
