@@ -91,16 +91,25 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken + knapsack(sizes, counts - taken, left)
 
 
-def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: 1 + i % 3, cap: float = 3.0, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs.
+ADDED = ("size", "source_size", "target", "taken", "repeats")
 
+
+def sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """What a row is chosen by: doc_id, source, size, h (a hash of the id), piece; and more columns."""
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *more)
+    return base.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))).withColumn("piece", F.pmod("h", F.lit(PIECES)).cast("int"))
+
+
+def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: 1 + i % 3, cap: float = 3.0, seed: int = 1, whole: bool = False) -> DataFrame:
+    """doc_id, source, and ADDED for every row of docs: its size, its source's size and target, the words that the mix takes
+    of it, and how often it takes it.
+
+    whole: all columns of docs, in place of doc_id and source, and ADDED behind them, with underscores where a name is taken.
     weight: of the i-th source by code point, null last.  One row for each source goes to the driver (as many as there
     are mixture weights), nothing that grows with the documents.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    base = base.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))).withColumn("piece", F.pmod("h", F.lit(PIECES)).cast("int"))
-    base = written(base, "mix")
+    base = written(sized(docs, seed), "mix")
     totals = {r["source"]: int(r["s"]) for r in base.groupBy("source").agg(F.sum("size").alias("s")).collect()}
     order = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
     targets = share([totals[s] for s in order], [weight(i) for i in range(len(order))], cap)
@@ -120,11 +129,23 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: 1 + i % 3, c
     pieces = pieces.withColumn("before", F.coalesce(before, F.lit(0)))
     pieces = pieces.join(chosen, F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("len")))
     pieces = pieces.select("src", "len", F.col("piece").alias("part"), "before", "k")
+    if whole:
+        base = sized(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "piece").orderBy("h", "doc_id")))
     here = F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("len")) & (F.col("piece") == F.col("part"))
     out = ranked.join(pieces, here, "left").drop("src").join(sources, F.col("source").eqNullSafe(F.col("src")), "left")
     extra = F.when(F.col("before") + F.col("rank") <= F.col("k"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * (F.col("passes") + extra)).alias("taken"))
+    repeats = F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(0).cast("long")
+    zero = F.lit(0).cast("long")
+    values = (F.col("size"), F.coalesce("source_size", zero), F.coalesce("target", F.lit(0.0)), F.col("size") * repeats, repeats)
+    if not whole:
+        return out.select("doc_id", "source", *(v.alias(n) for v, n in zip(values, ADDED, strict=True)))
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ADDED:
+        while name in taken:
+            name += "_"
+        names.append(name)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), *(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
