@@ -27,8 +27,7 @@ def test_stages(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, folder), name)
         kept[name] = ids(docs)
-        if name != "mixing":
-            assert docs.dtypes == kind
+        assert docs.dtypes[: len(kind)] == kind and (name == "mixing") == (len(docs.columns) > len(kind))
         if name == "secrets":
             assert next(r["text"] for r in docs.collect() if r["doc_id"] == 500).endswith(" [SECRET_ASSIGN]")
     clean = [i for i in range(200) if i % 4]
