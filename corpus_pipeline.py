@@ -7,7 +7,7 @@ toxicity         rows that the clause grammar, fitted on `labels`, rejects go
 near_duplicates  one document of each class stays
 decontamination  rows with a `benchmark` item within its edit budget go
 secrets          rows stay; secrets in their text are replaced by their kind, and n_chars follows
-mixing           one row for each document: its source's target, and how many of its words the mix takes
+mixing           rows stay, with their source's target, how often the mix takes them, and the words that makes
 
 Edge cases are those of the operators; an empty table passes through every stage as an empty table.
 """
@@ -15,7 +15,6 @@ Edge cases are those of the operators; an empty table passes through every stage
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspan.llm import decontamination, mixing, near_dedup, secrets, toxicity
 from veilspan.llm.common import table, written
@@ -23,7 +22,7 @@ from veilspan.llm.common import table, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("not rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +38,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs, whole=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
 
 #: The clause grammar, the signatures and the knapsack have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
