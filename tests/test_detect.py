@@ -1,6 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import before_each, between, in_pieces
+from veilspan.functions.text import GROUP, MARK, find_all
 from veilspan.operators.detect import detect
 from veilspan.plans.pipeline import redact_documents
 
@@ -71,3 +77,38 @@ def test_document_keeps_what_is_clinical(spark):
 @pytest.mark.parametrize(("text", "want"), [("(43048) Fekete Éva Dr. ma", "([REDACTED_DOCTOR_ID]) [REDACTED_NAME] Dr. ma"), ("43048 " + "x" * 80 + " Fekete Éva Dr. ma", "43048 " + "x" * 80 + " [REDACTED_NAME] Dr. ma")])
 def test_numbers_near_names(spark, text, want):
     assert redact_documents(spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("text", F.col("text"))).first()["redacted_text"] == want
+
+
+def test_find_all_against_plain_search(spark):
+    rn = random.Random(5)
+    texts = ["".join(rn.choice(["ab", "a1", " ", "😀", "é", "7", "12", MARK, GROUP, "\n"]) for _ in range(rn.randint(0, 400))) for _ in range(60)] + ["", "12" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for where, pattern in (("whole", r"[a-z]*[0-9]+"), ("tail", r"[a-z]+([0-9]+)"), ("head", r"([a-z]+)[0-9]+")):
+        got = {r["i"]: [tuple(x) for x in r["f"]] for r in df.select("i", find_all(F.col("t"), pattern, where).alias("f")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == [(*m.span(where != "whole"), m[where != "whole"]) for m in re.finditer(pattern, t)], (where, t)
+
+
+def test_places_in_arrays_and_pieces(spark):
+    rn = random.Random(6)
+    lists = [[rn.randint(0, 99) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 1000)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    got = df.select("x", before_each(F.col("x"), F.lit(0), lambda a, b: a + b).alias("s")).collect()
+    assert len(got) == len(lists) and all(list(r["s"]) == [sum(r["x"][:i]) for i in range(len(r["x"]))] for r in got)
+    text = "".join(rn.choice("abcdé😀") for _ in range(13_000))
+    cuts = [(0, 0), (0, 13_000), (4095, 2), (4096, 4096), (100, 9000), (12_999, 1), (13_000, 5), (8191, 1)]
+    df = spark.createDataFrame([(text, a, n) for a, n in cuts], "t string, a int, n int")
+    assert [r[2] for r in df.select("a", "n", between(in_pieces(F.col("t")), F.col("a"), F.col("n"))).collect()] == [text[a : a + n] for a, n in cuts]
+
+
+def test_long_text_takes_time_in_proportion(spark):
+    text = "Beteg neve: Kovács Éva és TAJ szám: 123 456 789, Tel: +36 30 123 4567, semmi más nincs itt ma.\n" * 11_000
+    began = time.time()
+    out = redact_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["n_spans"] == 33_000 and len(text) > 1_000_000 and time.time() - began < 60
+    assert out["redacted_text"].startswith("Beteg neve: [REDACTED_NAME] és TAJ szám: [REDACTED_TAJ], Tel: [REDACTED_PHONE], semmi")
+
+
+@pytest.mark.parametrize(("text", "want"), [("Budapest1138 Budapest", None), ("Petőfi utca12", "[REDACTED_ADDRESS]"), ("Alulírott Nagy Béla kijelentem", "Alulírott [REDACTED_NAME] kijelentem")])
+def test_more_probes(spark, text, want):
+    assert redact_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["redacted_text"] == (want or text)

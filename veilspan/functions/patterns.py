@@ -12,6 +12,7 @@ NAME_LABELS = (
     r"biztosított névé?", r"törvényes képviselő névé?", r"hozzátartozó névé?", r"kapcsolattartó névé?", r"beutaló orvos", r"kérő orvos", r"házi orvos",
     r"beküldő orvos", r"kezelő orvos", r"validáló", r"vizsgálatot végezte", r"leletező orvos", r"alulírott",
 )
+# Words of titles, addresses, dates, records and contexts.
 TITLES = ("optometrista", "kontaktológus", "szakorvos", "adjunktus", "főorvos", "orvos", "rezidens", "asszisztens", "szakasszisztens", "védőnő", "gyógytornász")
 STREETS = ("utca", "út", "tér", "körút", "fasor", "köz", "sor", "dűlő", "major", "telep", "lakótelep", "sétány", "rakpart")
 MONTHS = ("január", "február", "március", "április", "május", "június", "július", "augusztus", "szeptember", "október", "november", "december")
@@ -44,10 +45,10 @@ def names(gap: str, least: int, most: int, mixed: bool) -> str:
     return f"(?:{run(part)}|{run(caps)})"
 
 
+# Fixed values below: the patterns decide what is found.
 PART = f"[{UPPER}][{LOWER}]+(?:n[eé])?"
 FULL = names(r"[\s\n\-–—\.]+?", 1, 4, False)
-ONE_PLUS, TWO_PLUS = names(r"[ \t\-–—.]+?", 0, 4, True), names(r"[ \t\-–—.]+?", 1, 4, True)
-THREE = f"(?:(?:{PART}|[{UPPER}]{{2,}}(?:N[EÉ])?)[ \\t\\-–—.]+?){{1,2}}(?:{PART}|[{UPPER}]{{2,}}(?:N[EÉ])?)"
+ONE_PLUS, TWO_PLUS, THREE = (names(r"[ \t\-–—.]+?", least, most, True) for least, most in ((0, 4), (1, 4), (1, 2)))
 SEP, RECORD_SEP = r"[\s:.|·…\n]*[:\|]?[\s.·…\n]*", r"[\s_:.|·…\n]*[:\|]?[\s_.·…\n]*"
 
 #: Detectors in their order: (name, label, where the span stands in the match, pattern).
@@ -64,7 +65,7 @@ DETECTORS = (
     ("name_table", "NAME", "middle", rf"(?iU)\|\s*{either(NAME_LABELS)}\s*\|\s*(?-i:({FULL}))\s*\|"),
     ("name_dr_prefix", "NAME", "tail", rf"(?U)\b[Dd][Rr]\b\.?[ \t]*({ONE_PLUS})"),
     ("name_dr_suffix", "NAME", "head", rf"(?U)({TWO_PLUS})[ \t]+[Dd][Rr]\.?(?![A-Za-z])"),
-    ("name_title", "NAME", "head", rf"(?U)({TWO_PLUS})[ \t]+(?i:{either(TITLES)[3:-1]})\b"),
+    ("name_title", "NAME", "head", rf"(?U)({TWO_PLUS})[ \t]+(?i:{either(TITLES)})\b"),
     ("name_reszere", "NAME", "head", rf"(?U)({THREE})[ \t]+(?i:r[eé]sz[eé]re)\b"),
     ("doctor_eeszt", "DOCTOR_ID", "tail", r"(?iU)\bEESZT\s*:?\s*\(?\s*([A-Z]?\d{4,7})\b"),
     ("doctor_paren", "DOCTOR_ID", "middle", rf"(?U){PART}\s*\.?\s*\(\s*(?:azonos[ií]t[oó]\s*:?\s*)?([A-Z]?\d{{5,7}})\s*\)"),
@@ -74,6 +75,16 @@ DETECTORS = (
     ("record_label", "RECORD_ID", "tail", rf"(?iU)(?<![{LOWER}]){either(RECORD_LABELS)}a?{RECORD_SEP}([A-Z]?\d(?:[\d /–-]{{0,16}}\d){{3,}})"),
     ("record_composite", "RECORD_ID", "whole", r"(?U)\b\d{8,9}-(?:19|20)\d{2}-\d{7,8}\b"),
 )
+#: What a text must have for the detector to match in it: patterns that are cheap to look for, all of them.
+YEAR = r"(?:19|20)\p{Nd}{2}"
+LABELLED = r"(?iu)n[eé]v|orvos|szem[eé]ly|valid[aá]l[oó]|v[eé]gezte|alul[ií]rott"
+NEEDS = {
+    "taj": (r"\p{Nd}{3}",), "phone": (r"\+36|06|[/(]", r"\p{Nd}{3}"), "email": ("@",), "dob_numeric": (YEAR + r"[.\-/]",), "dob_text": (YEAR,),
+    "address_street": (r"\p{Nd}", rf"(?iu){either(STREETS)}"), "address_postal": (r"[1-9]\p{Nd}{3}[^\p{L}\p{Nd}]",), "name_field": (LABELLED,), "name_table": (r"\|", LABELLED),
+    "name_dr_prefix": (r"[Dd][Rr][. \t]",), "name_dr_suffix": (r"[ \t][Dd][Rr](?![A-Za-z])",), "name_title": (rf"(?iu)[ \t]{either(TITLES)}",), "name_reszere": (r"(?iu)[ \t]r[eé]sz[eé]re",),
+    "doctor_eeszt": (r"(?iu)eeszt", r"\p{Nd}{4}"), "doctor_paren": (r"\(", r"\p{Nd}{5}"), "doctor_stamp": (r"[A-Z]\p{Nd}{5}",), "company_registry": (r"\p{Nd}{2}-\p{Nd}{2}-\p{Nd}",),
+    "company_tax": (r"\p{Nd}{8}-",), "record_label": (r"(?iu)sz[aá]m", r"\p{Nd}"), "record_composite": (r"\p{Nd}{8}-",),
+}
 BARE_STAMP = r"(?U)\b[A-Z]?\d{5,6}\b"
 BIRTH_CONTEXT, TAJ_BEFORE, INSTITUTION = f"(?iU){either(BIRTH)}", f"(?iU){either(TAJ_CONTEXT)}", r"(?iU)(?:NNGYK|NEAK)\s*:?\s*\(?\s*$"
 

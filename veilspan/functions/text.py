@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import PLAIN_VOWELS
+from .arrays import before_each, between, let, numbers
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+#: Not characters, by the Unicode standard: they mark matches in a text, from which they are taken out before.
+MARK, GROUP, NEITHER = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 def find_all(text: Column, pattern: str, where: str = "whole") -> Column:
     """All leftmost, non-overlapping matches as array<struct<start, end, text>>, in code points.
 
-    Places come from the lengths of the pieces between matches: regexp_instr would count UTF-16 units.  where: as in
-    patterns.DETECTORS.
+    One pass of the pattern puts marks around matches, and behind them the group that is asked for; places come from the
+    lengths of the pieces between marks (regexp_instr would count UTF-16 units).  where: as in patterns.DETECTORS.
     """
-    p = F.lit(pattern)
-    matches = F.regexp_extract_all(text, p, F.lit(0))
-    groups = matches if where == "whole" else F.regexp_extract_all(text, p, F.lit(1))
-    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("g"), matches.alias("m"), groups.alias("s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        g, m, s = x["g"], x["m"], x["s"]
-        begin = acc["at"] + F.length(g)
+    marked = text.contains(MARK) | text.contains(GROUP)
+    clean = F.when(marked, F.translate(text, MARK + GROUP, NEITHER * 2)).otherwise(text)
+    put = MARK + "$0" + (GROUP + "$1" if where != "whole" else "") + MARK
+    pieces = F.split(F.regexp_replace(clean, pattern, put), MARK, -1)
+    whole = lambda piece: piece if where == "whole" else F.substring_index(piece, GROUP, 1)
+
+    def found(ps: Column) -> Column:
+        sizes = F.transform(ps, lambda x: F.length(whole(x)))
+        return let(before_each(sizes, F.lit(0), lambda a, n: a + n), lambda at: F.transform(numbers(F.shiftright(F.size(ps), 1)), lambda i: span(F.get(ps, 2 * i + 1), F.get(at, 2 * i + 1))))
+
+    def span(piece: Column, begin: Column) -> Column:
+        m, s = whole(piece), piece if where == "whole" else F.substring_index(piece, GROUP, -1)
         end = begin + F.length(m)
         if where == "tail":
             first, last = end - F.length(s), end
@@ -37,19 +44,23 @@ def find_all(text: Column, pattern: str, where: str = "whole") -> Column:
             first, last = begin, begin + F.length(s)
         else:
             first, last = begin, end
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"), s.alias("text")))).alias("out"))
+        return F.struct(first.alias("start"), last.alias("end"), s.alias("text"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.coalesce(F.aggregate(zipped, start, step, lambda a: a["out"]), F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    spans = let(pieces, lambda ps: F.when(F.size(ps) > 1, found(ps)).otherwise(none))
+    own = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), text.substr(s["start"] + 1, s["end"] - s["start"]).alias("text"))
+    return F.coalesce(F.when(marked, F.transform(spans, own)).otherwise(spans), none)
 
 
-def before(text: Column, at: Column, n: int) -> Column:
-    """The n characters before place `at`, or as many as there are."""
-    return text.substr(F.greatest(at - n, F.lit(0)) + 1, F.least(at, F.lit(n)))
+def before(pieces: Column, at: Column, n: int) -> Column:
+    """The n characters before place `at`, or as many as there are; pieces: the text as in_pieces() cuts it."""
+    return between(pieces, F.greatest(at - n, F.lit(0)), F.least(at, F.lit(n)))
 
 
-def line_before(text: Column, at: Column) -> Column:
-    return F.substring_index(text.substr(F.lit(1), at), "\n", -1)
+def line_before(pieces: Column, at: Column) -> Column:
+    """What stands before place `at` in its line."""
+    near = before(pieces, at, 2000)
+    return F.substring_index(F.when(near.contains("\n") | (at <= 2000), near).otherwise(between(pieces, F.lit(0), at)), "\n", -1)
 
 
 def collapse_table_rows(text: Column) -> Column:
@@ -97,24 +108,18 @@ def any_order(parts: list[str], joint: str, name: str) -> str:
     return rf"(?:(?:{step('a')}){accent_pattern(joint)}){{{len(parts) - 1}}}(?:{step('b')}){ends}"
 
 
-def variants(value: str, most: int = 6) -> list[str]:
-    """Ways to write a value of several parts: orders and joints, and its contiguous pieces; longest first.
-
-    With more than `most` parts only the given order is joined (n! orders of n parts); manual_pattern has the others.
+def manual_pattern(value: str) -> str:
+    """What matches a value written in other ways, longest ways first: its parts in any order with a joint between them, and
+    any of its neighbouring parts alone.  Orders aren't listed: a pattern takes the parts one by one, each of them once.
     """
     parts = parts_of(value)
-    if not parts:
-        return [value]
-    orders = itertools.permutations(parts) if len(parts) <= most else [tuple(parts)]
-    found = {value.strip()} | {joint.join(o) for o in orders for joint in (" ", "-", ". ", "")}
-    found |= {joint.join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) for joint in (" ", "-")}
-    return sorted(found, key=lambda v: (-len(v), v))
-
-
-def manual_pattern(value: str, most: int = 6) -> str:
-    parts, joints = parts_of(value), (". ", " ", "-", "")
-    orders = [any_order(parts, joint, f"j{k}") for k, joint in enumerate(joints)] if len(parts) > most else []
-    return "(?iu)" + "|".join([*orders, *(accent_pattern(v) for v in variants(value, most))])
+    ways = {accent_pattern(value.strip() or value): len(value.strip())}
+    whole = sum(map(len, parts))
+    if len(parts) > 1:
+        ways |= {any_order(parts, joint, f"j{k}"): whole + len(joint) * (len(parts) - 1) for k, joint in enumerate((". ", " ", "-", ""))}
+    pieces = {joint.join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) for joint in (" ", "-")}
+    ways |= {accent_pattern(piece): len(piece) for piece in pieces}
+    return "(?iu)" + "|".join(sorted(ways, key=lambda w: (-ways[w], w)))
 
 
 def manual_redact(text: Column, value: str, label: str = "NAME") -> tuple[Column, Column]:
@@ -123,6 +128,13 @@ def manual_redact(text: Column, value: str, label: str = "NAME") -> tuple[Column
     return F.regexp_replace(text, p, F.lit(f"[REDACTED_{label}]").cast("string")), F.regexp_count(text, F.lit(p))
 
 
+def manual_files(files: DataFrame, value: str, label: str = "NAME") -> DataFrame:
+    """files (name, text, ...) and new_text, new_name, n_replaced (in the text): the value redacted in both.  Names that are
+    equal afterwards are made different by runs.unique_names()."""
+    text, n = manual_redact(F.col("text"), value, label)
+    return files.withColumns({"new_text": text, "new_name": manual_redact(F.col("name"), value, label)[0], "n_replaced": n})
+
+
 def sanitize_log(text: Column) -> Column:
     """A log line without user folders, document names and folders: only XYZ.pdf or .md, and last parts of paths, stay."""
     kinds = ("pdf", "md")
@@ -151,6 +163,3 @@ def redact_filename(path: Column, field: str, full: str) -> Column:
 
     return F.array_join(F.transform(pieces, one), "")
 
-
-def fold_accents(text: Column) -> Column:
-    return F.translate(F.lower(text), "".join(PLAIN_VOWELS), "".join(PLAIN_VOWELS.values()))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import BIRTH_CONTEXT, DETECTORS, INSTITUTION, TAJ_BEFORE
+from ..functions.arrays import in_pieces, let
+from ..functions.patterns import BIRTH_CONTEXT, DETECTORS, INSTITUTION, NEEDS, TAJ_BEFORE
 from ..functions.text import SPAN, before, find_all, line_before
 
 FULL_SPAN = "array<struct<start:int,end:int,label:string,text:string,score:double,ord:int>>"
@@ -25,23 +26,21 @@ def checksum(number: Column) -> Column:
     return F.coalesce((total % 10 == digit(8)) & (F.length(digits) == 9), F.lit(False))
 
 
-def is_birth(text: Column, at: Column) -> Column:
+def is_birth(pieces: Column, at: Column) -> Column:
     """A birth word on the line before; or else, without another field's colon there, in the 80 characters before."""
-    line = line_before(text, at)
-    return line.rlike(BIRTH_CONTEXT) | (~line.contains(":") & before(text, at, 80).rlike(BIRTH_CONTEXT))
+    line = line_before(pieces, at)
+    return line.rlike(BIRTH_CONTEXT) | (~line.contains(":") & before(pieces, at, 80).rlike(BIRTH_CONTEXT))
 
 
 RULES = ("taj", "dob_numeric", "dob_text")
 
 
-def keep(name: str, text: Column, span: Column) -> Column:
+def keep(name: str, pieces: Column, span: Column) -> Column:
     """What a match of the detector has to meet besides its pattern."""
     if name == "taj":
-        known = checksum(span["text"]) | before(text, span["start"], 60).rlike(TAJ_BEFORE)
-        return known & ~before(text, span["start"], 12).rlike(INSTITUTION)
-    if name in RULES:
-        return is_birth(text, span["start"])
-    return F.length(span["text"]) >= LEAST[name]
+        known = checksum(span["text"]) | before(pieces, span["start"], 60).rlike(TAJ_BEFORE)
+        return known & ~before(pieces, span["start"], 12).rlike(INSTITUTION)
+    return is_birth(pieces, span["start"])
 
 
 def spans_of(text: Column, only: tuple[str, ...] | None = None) -> Column:
@@ -51,13 +50,19 @@ def spans_of(text: Column, only: tuple[str, ...] | None = None) -> Column:
 
 
 def one(text: Column, rank: int, name: str, label: str, where: str, pattern: str) -> Column:
+    """A detector's spans.  Its pattern is tried only on texts that have what it needs."""
+    needed = F.lit(True)
+    for need in NEEDS[name]:
+        needed = needed & (text.contains(need) if need.isalnum() or need == "@" else text.rlike(need))
     spans = find_all(text, pattern, where)
-    if name == "email":
-        spans = F.when(text.contains("@"), spans).otherwise(F.array().cast(SPAN))
-    if name in LEAST or name in RULES:
-        spans = F.filter(spans, lambda s: keep(name, text, s))
+    if name in RULES:
+        some = lambda ss: F.when(F.size(ss) > 0, let(in_pieces(text), lambda ps: F.filter(ss, lambda s: keep(name, ps, s)))).otherwise(ss)
+        spans = let(spans, some)
+    elif name in LEAST:
+        spans = F.filter(spans, lambda s: F.length(s["text"]) >= LEAST[name])
     order = lambda i: (F.lit((rank + 1) * 1_000_000) + i).alias("ord")
-    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), s["text"].alias("text"), F.lit(None).cast("double").alias("score"), order(i)))
+    full = lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), s["text"].alias("text"), F.lit(None).cast("double").alias("score"), order(i))
+    return F.when(needed, F.transform(spans, full)).otherwise(F.array().cast(FULL_SPAN))
 
 
 def detect(docs: DataFrame, only: tuple[str, ...] | None = None, key: str = "doc_id") -> DataFrame:

@@ -54,14 +54,18 @@ def unique_names(files: DataFrame) -> DataFrame:
     easy = named.join(clash, "out_dir", "left_anti").select("path", "out_dir", "ord", "name")
 
     def fold(pdf):
+        following: dict[str, int] = {}
         used, out = set(), []
-        for base in pdf.sort_values("ord")["base"]:
-            name, k = base, 2
+        pdf = pdf.sort_values("ord")
+        for base in pdf["base"]:
+            name, k = base, following.get(base, 2)
+            # numbers below the base's next one are taken, and stay so
             while name in used:
                 name, k = f"{base} ({k})", k + 1
+            following[base] = k
             used.add(name)
             out.append(name)
-        return pdf.sort_values("ord").assign(name=out)[["path", "out_dir", "ord", "name"]]
+        return pdf.assign(name=out)[["path", "out_dir", "ord", "name"]]
 
     kinds = ", ".join(f"{c} {good.schema[c].dataType.simpleString()}" for c in ("path", "out_dir", "ord"))
     hard = good.join(clash, "out_dir", "left_semi").groupBy("out_dir").applyInPandas(fold, kinds + ", name string")
@@ -120,11 +124,21 @@ def settings(text: Column, update: dict[str, str] | None = None) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
 
 
-def localized(table: Column, language: Column, key: Column) -> Column:
-    """A string by language, else in English, else its key; table: map of 'language.key' to string."""
-    return F.coalesce(F.try_element_at(table, F.concat_ws(".", language, key)), F.try_element_at(table, F.concat(F.lit("en."), key)), key)
+def localized(table: Column, language: Column, key: Column, values: dict[str, Column] | None = None) -> Column:
+    """A string by language, else in English, with values in place of {name}; a key that has neither stays as it is.
 
-
-def model_dir(override: Column, frozen: Column, windows: Column, app: Column, project: Column) -> Column:
-    """Where models lie: an override, the application's folder of a frozen build, or the project's."""
-    return F.coalesce(F.nullif(override, F.lit("")), F.when(frozen & windows, F.concat(app, F.lit("/models"))), F.when(frozen, F.concat(project, F.lit("/models"))), F.concat(project, F.lit("/models")))
+    table: map of 'language.key' to string.
+    """
+    text = F.coalesce(F.try_element_at(table, F.concat_ws(".", language, key)), F.try_element_at(table, F.concat(F.lit("en."), key)))
+    for name, value in (values or {}).items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    return F.coalesce(text, key)
+
+
+def model_dir(override: Column, frozen: Column, windows: Column, app: Column, project: Column, user: Column | None = None, legacy: Column | None = None) -> Column:
+    """Where models lie: an override; of a frozen build on Windows the application's folder, unless only the user's folder
+    has models and they can't be moved (legacy); of another frozen build the user's folder; else the project's."""
+    user, legacy = F.lit(None).cast("string") if user is None else user, F.lit(False) if legacy is None else legacy
+    in_ = lambda folder: F.concat(folder, F.lit("/models"))
+    built = F.when(windows & ~F.coalesce(legacy, F.lit(False)), in_(app)).otherwise(in_(user))
+    return F.coalesce(F.nullif(override, F.lit("")), F.when(frozen, built).otherwise(in_(project)))

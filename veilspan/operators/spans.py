@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import before_each, between, in_pieces, let, numbers
 from ..functions.patterns import BARE_STAMP, PLACEHOLDERS, SUFFIXES
 from ..functions.text import find_all
 from .detect import FULL_SPAN
@@ -25,13 +26,18 @@ def in_order(spans: Column) -> Column:
 def merged(spans: Column) -> Column:
     """Overlapping spans become one with the first one's label and text; touching ones stay apart."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["label"].alias("label"), last["text"].alias("text"), F.lit(None).cast("double").alias("score"), last["ord"].alias("ord"))
-        apart = last.isNull() | (s["start"] >= last["end"])
-        return F.when(apart, F.concat(acc, F.array(s))).when(s["end"] > last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(acc)
+    def islands(ss: Column) -> Column:
+        ends = F.transform(ss, lambda s: s["end"])
+        reach = before_each(ends, F.lit(-1), lambda a, b: F.greatest(a, b))
+        fresh = let(reach, lambda r: F.filter(numbers(F.size(ss)), lambda i: F.get(ss, i)["start"] >= F.get(r, i)))
+        return let(ends, lambda es: let(fresh, lambda fs: F.transform(fs, lambda f, k: one(ss, es, f, F.coalesce(F.get(fs, k + 1), F.size(ss))))))
 
-    return F.aggregate(in_order(spans), F.array().cast(FULL_SPAN), step)
+    def one(ss: Column, ends: Column, first: Column, after: Column) -> Column:
+        s, end = F.get(ss, first), F.array_max(F.slice(ends, first + 1, after - first))
+        score = F.when(end == s["end"], s["score"])
+        return F.struct(s["start"].alias("start"), end.alias("end"), s["label"].alias("label"), s["text"].alias("text"), score.alias("score"), s["ord"].alias("ord"))
+
+    return let(in_order(spans), islands).cast(FULL_SPAN)
 
 
 def ids_near_names(text: Column, spans: Column, window: int = 60) -> Column:
@@ -51,9 +57,14 @@ def placeholder(label: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """text with each of the spans, disjoint and in order, replaced by its placeholder."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), placeholder(s["label"])).alias("out"))
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+
+    def put(pieces: Column, ss: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(ss, i)["end"], F.lit(0))
+        filled = F.transform(ss, lambda s, i: F.concat(between(pieces, end(i - 1), s["start"] - end(i - 1)), placeholder(s["label"])))
+        last = end(F.size(ss) - 1)
+        return F.array_join(F.concat(filled, F.array(between(pieces, last, F.length(text) - last))), "")
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(in_pieces(text), lambda ps: let(spans, lambda ss: put(ps, ss))))
 
 
 def counts(spans: Column) -> Column:

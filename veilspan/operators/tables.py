@@ -5,10 +5,17 @@ Cells are (page, table_id, row, col, row_span, col_span, l, t, r, b, header); de
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Tags of cells that have a box of their own, and the one that ends a sequence.
+CELLS = ("fcel", "ecel", "ched", "rhed", "srow")
+END = "<end>"
+
 
 def table_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.where(F.col("label").isin("table", "document_index"))
@@ -73,10 +80,146 @@ def corrected_tags(tags: list[str]) -> list[str]:
     out: list[str] = []
     first = True
     for tag in tags:
-        if first and tag == "xcel":
-            tag = "lcel"
-        if tag == "lcel" and out and out[-1] == "ucel":
-            tag = "fcel"
+        out.append(corrected(tag, out, first))
         first = first and tag != "nl"
+    return out
+
+
+def corrected(tag: str, before: list[str], first: bool) -> str:
+    """A tag in its place; first: whether it is in the first row."""
+    if first and tag == "xcel":
+        tag = "lcel"
+    return "fcel" if tag == "lcel" and before and before[-1] == "ucel" else tag
+
+
+def decoded(next_tag: Callable[[list[str]], str], most: int) -> list[str]:
+    """Tags as a model gives them one by one, each repaired before the next one is asked for; at most so many."""
+    out: list[str] = []
+    while len(out) < most and (tag := corrected(next_tag(out), out, "nl" not in out)) != END:
         out.append(tag)
     return out
+
+
+def decode(images: DataFrame, make: Callable[[], Callable[[bytes, list[str]], str]], most: int = 1024) -> DataFrame:
+    """table_id, tags: the tag sequence of each table's image, by a model that is built once for each task and asked for the
+    next tag again and again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for b in batches:
+            tags = [decoded(lambda before, x=bytes(x or b""): model(x, before), most) for x in b["image"]]
+            yield pd.DataFrame({"table_id": b["table_id"], "tags": tags})
+
+    kind = images.schema["table_id"].dataType.simpleString()
+    return images.select("table_id", "image").mapInPandas(run, f"table_id {kind}, tags array<string>")
+
+
+def tag_names(ids: Column, words: dict[str, int]) -> Column:
+    """Names of a sequence of tag numbers, without its first and last one (start and end)."""
+    names = F.create_map(*[F.lit(x) for name, n in words.items() for x in (n, name)])
+    return F.transform(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 2, F.lit(0))), lambda i: F.try_element_at(names, i))
+
+
+def rows_of(tags: Column) -> Column:
+    """A sequence's rows, as strings of one letter for each cell; empty rows left out."""
+    letters = F.array_join(F.transform(tags, lambda t: F.when(t == "nl", "|").otherwise("x")), "")
+    return F.filter(F.split(letters, r"\|", -1), lambda r: r != "")
+
+
+def is_square(tags: Column) -> Column:
+    """Whether all rows of a tag sequence have the same number of cells."""
+    return F.size(F.array_distinct(rows_of(tags))) <= 1
+
+
+def size_of(tags: Column) -> Column:
+    """struct<num_rows, num_cols> by the tags alone: row ends, and the place of the first one (null without any)."""
+    ends = F.size(F.filter(tags, lambda t: t == "nl"))
+    first = F.array_position(tags, "nl")
+    return F.struct(ends.alias("num_rows"), F.when(first > 0, first - 1).cast("int").alias("num_cols"))
+
+
+def boxed_tags(tags: DataFrame) -> DataFrame:
+    """From (table_id, ord, tag) of repaired sequences: table_id, ord, box (its number), partner: tags for which a model
+    gives a box.  A run of left spans has one, which merges with that of the cell right behind the run, or, if the run ends
+    otherwise, with the table's last box.
+    """
+    w = Window.partitionBy("table_id").orderBy("ord")
+    last = F.lag("tag").over(w)
+    seen = tags.withColumn("_last", last)
+    cell = F.col("tag").isin(*CELLS, "nl", "ucel") & F.col("_last").isNotNull() & ~F.col("_last").isin("nl", "ucel", "xcel")
+    run = (F.col("tag") == "lcel") & F.coalesce(F.col("_last") != "lcel", F.lit(True))
+    # a run's first tag knows what stands behind the run: the next tag that is no left span
+    after = F.first(F.when(F.col("tag") != "lcel", F.struct("tag")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))["tag"]
+    seen = seen.withColumn("_run", run).withColumn("_after", after).where(cell | run)
+    numbered = seen.withColumn("box", (F.row_number().over(w) - 1).cast("int")).withColumn("_n", F.count("*").over(Window.partitionBy("table_id")).cast("int"))
+    closed = F.col("_after").isin(*CELLS, "nl", "ucel")
+    partner = F.when(F.col("_run"), F.when(closed, F.col("box") + 1).otherwise(F.col("_n") - 1))
+    return numbered.select("table_id", "ord", "box", partner.alias("partner"))
+
+
+def merged_boxes(boxed: DataFrame, boxes: DataFrame) -> DataFrame:
+    """table_id, box, cx, cy, w, h: boxes (table_id, box, cx, cy, w, h) with each run of left spans and its partner made one."""
+    one = boxes.select("table_id", "box", "cx", "cy", "w", "h")
+    other = boxes.select("table_id", F.col("box").alias("partner"), *(F.col(c).alias(f"{c}2") for c in ("cx", "cy", "w", "h")))
+    pairs = boxed.where("partner is not null").select("table_id", "box", "partner")
+    closed = boxed.where("partner = box + 1").select("table_id", F.col("partner").alias("box"))
+    both = one.join(closed, ["table_id", "box"], "left_anti").join(pairs, ["table_id", "box"], "left").join(other, ["table_id", "partner"], "left")
+    left, top = F.col("cx") - F.col("w") / 2, F.least(F.col("cy") - F.col("h") / 2, F.col("cy2") - F.col("h2") / 2)
+    width = F.col("cx2") + F.col("w2") / 2 - left
+    height = F.col("cy2") + F.col("h2") / 2 - (F.col("cy") - F.col("h") / 2)
+    alone = F.col("cx2").isNull()
+    new = {"cx": left + width / 2, "cy": top + height / 2, "w": width, "h": height}
+    return both.select("table_id", "box", *(F.when(alone, F.col(c)).otherwise(x).alias(c) for c, x in new.items()))
+
+
+def synced_boxes(html: DataFrame, boxes: DataFrame) -> DataFrame:
+    """boxes (table_id, box from 0, ...) of tables whose HTML tags (table_id, ord, tag) have as many cells as they are; of
+    other tables, those go whose number is that of cells up to the end of a spanning one.
+    """
+    opens = F.col("tag").isin("<td>", ">")
+    n = html.groupBy("table_id").agg(F.count_if(opens | F.col("tag").isin(*CELLS)).alias("_cells"))
+    odd = boxes.groupBy("table_id").agg(F.count("*").alias("_boxes")).join(n, "table_id", "left").where("_boxes <> coalesce(_cells, 0)").select("table_id")
+    so_far = F.count_if(opens).over(Window.partitionBy("table_id").orderBy("ord"))
+    gone = html.withColumn("box", so_far.cast("int")).where("tag = '>'").join(odd, "table_id", "left_semi").select("table_id", "box")
+    return boxes.join(gone, ["table_id", "box"], "left_anti")
+
+
+def structure_cells(cells: DataFrame) -> DataFrame:
+    """Cells of a table's structure alone, without any text: from (table_id, cell_id, row_id, column_id, row_span, col_span,
+    label, l, t, r, b), where a missing span is 1; ends of rows and columns, and what kind of header a cell is."""
+    span = lambda c: F.coalesce(F.col(c), F.lit(1)).alias(c)
+    some = cells.select("table_id", "cell_id", "row_id", "column_id", span("row_span"), span("col_span"), "label", "l", "t", "r", "b")
+    kinds = {"column_header": "ched", "row_header": "rhed", "row_section": "srow"}
+    ends = [(F.col("row_id") + F.col("row_span")).alias("end_row"), (F.col("column_id") + F.col("col_span")).alias("end_col")]
+    header = [F.coalesce(F.col("label") == v, F.lit(False)).alias(k) for k, v in kinds.items()]
+    return some.select("table_id", "cell_id", F.col("row_id").alias("start_row"), F.col("column_id").alias("start_col"), "row_span", "col_span", *ends, *header, "l", "t", "r", "b")
+
+
+def page_boxes(clusters: DataFrame, scale: float = 2.0) -> DataFrame:
+    """Boxes of clusters in the pixels of a page that is rendered at a scale: rounded to points first, half to even."""
+    return clusters.withColumns({c: F.bround(F.col(c).cast("double")) * scale for c in "ltrb"})
+
+
+def page_tables(pages: DataFrame, predicted: DataFrame) -> DataFrame:
+    """pages (page, valid, existing), each with what is predicted (page, tables); one that can't be read keeps what it has,
+    one without tables gets an empty list."""
+    kind = predicted.schema["tables"].dataType.simpleString()
+    none = F.array().cast(kind)
+    new = F.when(F.col("valid"), F.coalesce("tables", none)).otherwise(F.coalesce("existing", none))
+    return pages.join(predicted, "page", "left").select("page", new.alias("tables"))
+
+
+def crops(boxes: DataFrame, height: int = 1024) -> DataFrame:
+    """boxes (l, t, r, b, page_width, page_height) on a page that is resized to a height: scale, the boxes scaled and cut to
+    the page, the bounds of the image to crop (x0, y0, x1, y1; half to even), whether that is empty (such a table has no
+    cells), and the boxes scaled back.
+    """
+    scale = F.lit(float(height)) / F.col("page_height")
+    width = F.floor(F.col("page_width") * F.col("scale")).cast("double")
+    out = boxes.withColumn("scale", scale).withColumn("image_width", width)
+    inside = lambda c, most: F.least(F.greatest(F.col(c) * F.col("scale"), F.lit(0.0)), most)
+    high = F.lit(float(height))
+    cut = out.withColumns({"l": inside("l", F.col("image_width")), "r": inside("r", F.col("image_width")), "t": inside("t", high), "b": inside("b", high)})
+    cut = cut.withColumns({new: F.bround(c).cast("int") for new, c in zip(("x0", "y0", "x1", "y1"), "ltrb", strict=True)})
+    cut = cut.withColumn("empty", (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")))
+    return cut.withColumns({f"{c}_back": F.col(c) / F.col("scale") for c in "ltrb"})

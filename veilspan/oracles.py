@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
 from .functions.patterns import BARE_STAMP, BIRTH_CONTEXT, DETECTORS, INSTITUTION, PLACEHOLDERS, TAJ_BEFORE, plain
-from .functions.text import manual_pattern
+from .functions.text import VOWEL_GROUPS
 from .operators.detect import LEAST, WEIGHTS
 from .operators.ner import CHUNK, NEAR, SHIFT, STRIDE
 from .plans.notes import FIRST, NOTES_SQL, TEXTS_SQL
@@ -92,7 +94,11 @@ def accepted(words: dict[str, tuple[str, float]], labels: dict[str, str]) -> str
 
 
 def manual(value: str, label: str) -> str:
-    p = quote(manual_pattern(value).replace("(?iu)", "(?i)"))
+    """By a list of all orders, joints and pieces: the value has two parts."""
+    parts = value.split()
+    ways = {joint.join(o) for o in itertools.permutations(parts) for joint in (" ", "-", ". ", "")} | set(parts)
+    plain = lambda w: "".join(next((f"[{g}]" for g in VOWEL_GROUPS if c.lower() in g), c.replace(".", "[.]")) for c in w)
+    p = quote("(?i)" + "|".join(plain(w) for w in sorted(ways, key=lambda w: (-len(w), w))))
     return f"SELECT doc_id, regexp_replace(text, {p}, '[REDACTED_{label}]', 'g') AS redacted_text, cast(len(regexp_extract_all(text, {p})) AS int) AS n_replaced FROM ({TEXTS_SQL})"
 
 

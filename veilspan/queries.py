@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as o
+from . import structure_queries
 from .functions.patterns import DETECTORS
 from .functions.text import collapse_table_rows, find_all, manual_redact, sanitize_log
 from .operators import ner, runs, tables
@@ -49,7 +50,8 @@ for _name, *_ in DETECTORS:
 
 @query(f"{o.with_spans(TEXTS_SQL)} SELECT {o.SPANS} FROM first_")
 def spans_merged(spark, sf_dir):
-    return merge_spans(detect(texts(spark, sf_dir))).select("doc_id", "start", "end", "label", "text")
+    found = texts(spark, sf_dir).select("doc_id", F.inline(merged(spans_of(F.col("text")))))
+    return found.select("doc_id", "start", "end", "label", "text")
 
 
 @query(f"{o.with_spans(TEXTS_SQL)} SELECT {o.SPANS} FROM near_")
@@ -74,7 +76,7 @@ def label_report(spark, sf_dir):
     return runs.report(done).withColumnRenamed("path", "doc_id").drop("status")
 
 
-@query()
+@query(f"{o.with_spans(o.COLLAPSED)} SELECT src.doc_id, coalesce(c.label_counts, '') AS label_counts FROM src LEFT JOIN (SELECT doc_id, string_agg(label || ': ' || cast(n AS varchar), ', ' ORDER BY n DESC, first) AS label_counts FROM (SELECT doc_id, label, count(*) AS n, min(s) AS first FROM final_ GROUP BY doc_id, label) GROUP BY doc_id) c ON c.doc_id = src.doc_id")
 def label_counts_ordered(spark, sf_dir):
     done = redact_documents(texts(spark, sf_dir)).select("doc_id", ordered_counts(F.col("spans")).alias("labels"))
     return done.select("doc_id", F.array_join(F.transform("labels", lambda x: F.concat_ws(": ", x["label"], x["n"].cast("string"))), ", ").alias("label_counts"))
@@ -277,3 +279,7 @@ BOX = "cast(p_partkey % 100 AS double) AS cx, cast(p_size AS double) AS cy, cast
 def boxes_clamped(spark, sf_dir):
     boxes = read(spark, sf_dir, "part").selectExpr("p_partkey", *BOX.split(", "), "80.0D AS width", "40.0D AS height")
     return tables.clamped(tables.corners(boxes)).select("p_partkey", "l", "t", "r", "b")
+
+
+QUERIES |= structure_queries.QUERIES
+SQL |= structure_queries.SQL
