@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import in_pieces, let
 from ..functions.patterns import BIRTH_CONTEXT, DETECTORS, INSTITUTION, NEEDS, TAJ_BEFORE
-from ..functions.text import SPAN, before, find_all, line_before
+from ..functions.text import before, find_all, line_before
 
 FULL_SPAN = "array<struct<start:int,end:int,label:string,text:string,score:double,ord:int>>"
 #: Shortest names: with a field label, and with a title or the like.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,10 +94,15 @@ def duplicate_names(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("model", "name").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def manifest_rows(contents: DataFrame) -> DataFrame:
+    """model, name, bytes, sha256 of each file, from (model, name, content); nothing moves."""
+    return contents.select("model", "name", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def build_manifest(contents: DataFrame) -> DataFrame:
-    """model, files array<struct<name, bytes, sha256>> by name, from (model, name, content)."""
-    each = F.struct("name", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return contents.groupBy("model").agg(F.array_sort(F.collect_list(each)).alias("files"))
+    """model, files array<struct<name, bytes, sha256>> by name, as a manifest file has them: for models, whose files are few."""
+    each = F.struct("name", "bytes", "sha256")
+    return manifest_rows(contents).groupBy("model").agg(F.array_sort(F.collect_list(each)).alias("files"))
 
 
 def leaks(outputs: DataFrame, raw: list[str], key: str = "doc_id") -> DataFrame:
@@ -111,6 +116,17 @@ def leaks(outputs: DataFrame, raw: list[str], key: str = "doc_id") -> DataFrame:
     return outputs.select(key, F.explode(found).alias("problem"))
 
 
+def observed(files: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """files (path, ok) with an observation that has, once an action on them has ended, how many there were, how many
+    failed, and (where there is label_counts) how many spans they had."""
+    seen = Observation(name)
+    counts = [F.count("*").alias("files"), F.count_if(~F.col("ok")).alias("failed")]
+    if "label_counts" in files.columns:
+        spans = F.aggregate(F.coalesce(F.map_values("label_counts"), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + n)
+        counts.append(F.sum(spans).alias("spans"))
+    return files.observe(seen, *counts), seen
+
+
 def out_dir(path: Column, given: str | None) -> Column:
     return F.lit(given) if given else F.regexp_replace(path, "/[^/]*$", "")
 

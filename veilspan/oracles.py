@@ -8,7 +8,7 @@ from .functions.patterns import BARE_STAMP, BIRTH_CONTEXT, DETECTORS, INSTITUTIO
 from .functions.text import VOWEL_GROUPS
 from .operators.detect import LEAST, WEIGHTS
 from .operators.ner import CHUNK, NEAR, SHIFT, STRIDE
-from .plans.notes import FIRST, NOTES_SQL, TEXTS_SQL
+from .plans.notes import TEXTS_SQL
 
 
 def quote(text: str) -> str:
@@ -103,4 +103,4 @@ def manual(value: str, label: str) -> str:
 
 
 SPANS = 'doc_id, s AS "start", e AS "end", label, found AS text'
-__all__ = ["FIRST", "NOTES_SQL", "SPANS"]
+

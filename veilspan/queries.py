@@ -11,10 +11,10 @@ from . import oracles as o
 from . import structure_queries
 from .functions.patterns import DETECTORS
 from .functions.text import collapse_table_rows, find_all, manual_redact, sanitize_log
-from .operators import ner, runs, tables
+from .operators import ner, runs, tables, udtf
 from .operators.detect import detect, spans_of
-from .operators.spans import components, counts, drop_midword, ids_near_names, merge_spans, merged, ordered_counts
-from .plans.notes import NOTES_SQL, TEXTS_SQL, notes, texts
+from .operators.spans import components, drop_midword, ids_near_names, merge_spans, merged, ordered_counts
+from .plans.notes import TEXTS_SQL, texts
 from .plans.pipeline import redact_documents, redact_with_model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,26 @@ def spans_merged(spark, sf_dir):
     return found.select("doc_id", "start", "end", "label", "text")
 
 
+@query(f"""WITH s AS ({o.accepted(WORDS, ner.LABELS)}), a AS (SELECT *, max("end") OVER (PARTITION BY doc_id
+  ORDER BY "start", "start" - "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), b AS (SELECT *, sum(CASE
+  WHEN "start" < reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "start", "start" - "end" ROWS UNBOUNDED PRECEDING) AS k
+  FROM a) SELECT doc_id, min("start") AS "start", max("end") AS "end", count(*) AS n_spans FROM b GROUP BY doc_id, k""")
+def span_table_merged(spark, sf_dir):
+    return merge_spans(model_spans(spark, sf_dir)).select("doc_id", "start", "end", "n_spans")
+
+
 @query(f"{o.with_spans(TEXTS_SQL)} SELECT {o.SPANS} FROM near_")
 def ids_near_name_spans(spark, sf_dir):
     first = texts(spark, sf_dir).select("doc_id", "text", merged(spans_of(F.col("text"))).alias("spans"))
     return first.select("doc_id", F.inline(ids_near_names(F.col("text"), F.col("spans")))).select("doc_id", "start", "end", "label", "text")
 
 
+@query(f"{o.with_spans(TEXTS_SQL)} SELECT {o.SPANS} FROM final_")
+def pii_spans_sql(spark, sf_dir):
+    udtf.register(spark)
+    return spark.sql("SELECT doc_id, s.* FROM {docs}, LATERAL pii_spans(text) AS s", docs=texts(spark, sf_dir))
+
+
 @query(o.REDACTED)
 def redact(spark, sf_dir):
     return redact_documents(texts(spark, sf_dir)).select("doc_id", "redacted_text", "n_spans")
@@ -70,13 +84,16 @@ def label_counts(spark, sf_dir):
     return redact_documents(texts(spark, sf_dir)).select("doc_id", F.explode("label_counts").alias("label", "n"))
 
 
-@query(f"{o.with_spans(o.COLLAPSED)} SELECT doc_id, count(*) FILTER (label = 'NAME') AS names, count(*) FILTER (label = 'TAJ') AS taj, count(*) FILTER (label = 'DATE_OF_BIRTH') AS dates, count(*) FILTER (label IN ('ADDRESS', 'LOCATION')) AS addr, count(*) AS total, count(*) FILTER (label = 'NAME') = 0 AS review FROM final_ GROUP BY doc_id")
+@query(f"""{o.with_spans(o.COLLAPSED)} SELECT doc_id, count(*) FILTER (label = 'NAME') AS names, count(*) FILTER (label = 'TAJ') AS taj, count(*) FILTER (label = 'DATE_OF_BIRTH') AS dates, count(*) FILTER (label IN ('ADDRESS', 'LOCATION')) AS addr, count(*) AS total, count(*) FILTER (label = 'NAME') = 0 AS review
+  FROM final_ GROUP BY doc_id""")
 def label_report(spark, sf_dir):
     done = redact_documents(texts(spark, sf_dir)).where("n_spans > 0").select(F.col("doc_id").alias("path"), F.lit("done").alias("status"), F.col("label_counts").alias("counts"))
     return runs.report(done).withColumnRenamed("path", "doc_id").drop("status")
 
 
-@query(f"{o.with_spans(o.COLLAPSED)} SELECT src.doc_id, coalesce(c.label_counts, '') AS label_counts FROM src LEFT JOIN (SELECT doc_id, string_agg(label || ': ' || cast(n AS varchar), ', ' ORDER BY n DESC, first) AS label_counts FROM (SELECT doc_id, label, count(*) AS n, min(s) AS first FROM final_ GROUP BY doc_id, label) GROUP BY doc_id) c ON c.doc_id = src.doc_id")
+@query(f"""{o.with_spans(o.COLLAPSED)} SELECT src.doc_id, coalesce(c.label_counts, '') AS label_counts FROM src LEFT
+  JOIN (SELECT doc_id, string_agg(label || ': ' || cast(n AS varchar), ', ' ORDER BY n DESC, first) AS label_counts
+  FROM (SELECT doc_id, label, count(*) AS n, min(s) AS first FROM final_ GROUP BY doc_id, label) GROUP BY doc_id) c ON c.doc_id = src.doc_id""")
 def label_counts_ordered(spark, sf_dir):
     done = redact_documents(texts(spark, sf_dir)).select("doc_id", ordered_counts(F.col("spans")).alias("labels"))
     return done.select("doc_id", F.array_join(F.transform("labels", lambda x: F.concat_ws(": ", x["label"], x["n"].cast("string"))), ", ").alias("label_counts"))
@@ -140,8 +157,9 @@ def redact_with_entities(spark, sf_dir):
     return redact_with_model(texts(spark, sf_dir), gazetteer).select("doc_id", "redacted_text", "n_spans")
 
 
+TOKEN = "[A-Z][a-z]+|[0-9]+"
 TAG = "CASE WHEN regexp_like(word, '^[A-Z]') THEN (CASE WHEN tok % 3 = 0 THEN 'B-PER' WHEN tok % 3 = 1 THEN 'I-PER' ELSE 'I-LOC' END) ELSE 'O' END"
-BIO_SQL = f"""WITH t AS (SELECT doc_id, i AS tok, s, e, found AS word, {TAG.replace("regexp_like", "regexp_matches").replace("tok", "i").replace("word", "found")} AS tag, (i % 8) / 8.0 AS score FROM ({o.matches(NOTES_SQL, "[A-Za-z0-9]+")})),
+BIO_SQL = f"""WITH t AS (SELECT doc_id, i AS tok, s, e, found AS word, {TAG.replace("regexp_like", "regexp_matches").replace("tok", "i").replace("word", "found")} AS tag, (i % 8) / 8.0 AS score FROM ({o.matches(TEXTS_SQL, TOKEN)})),
   u AS (SELECT *, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS grp FROM t WHERE e > s),
   v AS (SELECT *, CASE WHEN tag LIKE 'I-%' AND lag(grp) OVER w = grp AND s <= lag(e) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY tok)),
   x AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY tok ROWS UNBOUNDED PRECEDING) AS k FROM v)
@@ -150,7 +168,7 @@ BIO_SQL = f"""WITH t AS (SELECT doc_id, i AS tok, s, e, found AS word, {TAG.repl
 
 @query(BIO_SQL)
 def bio_entities(spark, sf_dir):
-    found = notes(spark, sf_dir).select("doc_id", F.posexplode(find_all(F.col("text"), "[A-Za-z0-9]+")).alias("at", "m")).selectExpr("doc_id", "at + 1 AS tok", "m.start AS start", "m.end AS end", "m.text AS word")
+    found = texts(spark, sf_dir).select("doc_id", F.posexplode(find_all(F.col("text"), TOKEN)).alias("at", "m")).selectExpr("doc_id", "at + 1 AS tok", "m.start AS start", "m.end AS end", "m.text AS word")
     return ner.bio_entities(found.withColumn("tag", F.expr(TAG)).withColumn("score", (F.col("tok") % 8) / F.lit(8.0)))
 
 
@@ -174,7 +192,8 @@ STATE_SQL = f"""WITH e AS (SELECT event_id AS seq, 'p' || cast(user_id AS varcha
   s AS (SELECT path, arg_max(stage, seq) AS status, max(seq) AS seq, arg_max(n, seq) FILTER (stage = 'done' AND n < 5) AS names FROM e GROUP BY path)"""
 
 
-@query(f"{STATE_SQL} SELECT s.path, status, names, CASE WHEN status = 'failed' THEN 'error ' || cast(e.n AS varchar) END AS error FROM s JOIN e ON e.path = s.path AND e.seq = s.seq")
+@query(f"""{STATE_SQL} SELECT s.path, status, names, CASE WHEN status = 'failed' THEN 'error ' || cast(e.n AS varchar) END AS error FROM s
+  JOIN e ON e.path = s.path AND e.seq = s.seq""")
 def queue_state(spark, sf_dir):
     return runs.queue_state(events(spark, sf_dir)).select("path", "status", F.try_element_at("counts", F.lit("NAME")).alias("names"), "error")
 
@@ -184,12 +203,17 @@ def queue_pending(spark, sf_dir):
     return runs.pending(runs.queue_state(events(spark, sf_dir))).select("path", "status")
 
 
-@query(f"{STATE_SQL} SELECT path, status, CASE WHEN status = 'done' THEN coalesce(names, 0) END AS names, CASE WHEN status = 'done' THEN CASE WHEN names IS NULL THEN 0 ELSE 1 END END AS taj, CASE WHEN status = 'done' THEN 0 END AS dates, CASE WHEN status = 'done' THEN CASE WHEN names IS NULL THEN 0 ELSE 3 END END AS addr, CASE WHEN status = 'done' THEN CASE WHEN names IS NULL THEN 0 ELSE names + 4 END END AS total, status = 'done' AND coalesce(names, 0) = 0 AS review FROM s")
+@query(f"""{STATE_SQL} SELECT path, status, CASE WHEN status = 'done' THEN coalesce(names, 0) END AS names, CASE WHEN status = 'done' THEN CASE
+  WHEN names IS NULL THEN 0 ELSE 1 END END AS taj, CASE WHEN status = 'done' THEN 0 END AS dates, CASE WHEN status = 'done' THEN CASE
+  WHEN names IS NULL THEN 0 ELSE 3 END END AS addr, CASE WHEN status = 'done' THEN CASE WHEN names IS NULL THEN 0
+  ELSE names + 4 END END AS total, status = 'done' AND coalesce(names, 0) = 0 AS review FROM s""")
 def queue_report(spark, sf_dir):
     return runs.report(runs.queue_state(events(spark, sf_dir)))
 
 
-@query("SELECT path, 'queued' AS status FROM (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'a' || cast(c_custkey % 50 AS varchar) || '.PDF' ELSE 'a' || cast(c_custkey % 50 AS varchar) || '.txt' END AS path FROM customer WHERE c_custkey % 50 >= 10) WHERE lower(path) LIKE '%.pdf' UNION ALL SELECT DISTINCT 'a' || cast(c_custkey % 50 AS varchar) || '.PDF', 'done' FROM customer WHERE c_custkey % 50 < 10")
+@query("""SELECT path, 'queued' AS status FROM (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'a' || cast(c_custkey % 50 AS varchar) || '.PDF' ELSE 'a' ||
+  cast(c_custkey % 50 AS varchar) || '.txt' END AS path FROM customer WHERE c_custkey % 50 >= 10) WHERE lower(path) LIKE '%.pdf'
+  UNION ALL SELECT DISTINCT 'a' || cast(c_custkey % 50 AS varchar) || '.PDF', 'done' FROM customer WHERE c_custkey % 50 < 10""")
 def queue_added(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     queue = c.where("c_custkey % 50 < 10").selectExpr("concat('a', cast(c_custkey % 50 AS string), '.PDF') AS path", "'done' AS status").distinct().withColumn("ord", F.lit(0).cast("long"))
@@ -200,7 +224,9 @@ def queue_added(spark, sf_dir):
 FILES = "c_custkey AS ord, c_custkey % 4 <> 0 AS ok"
 
 
-@query("SELECT path, out_dir, CASE WHEN n = 1 THEN base ELSE base || ' (' || cast(n AS varchar) || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY out_dir, base ORDER BY ord) AS n FROM (SELECT 'f' || cast(c_custkey AS varchar) AS path, 'd' || cast(c_nationkey AS varchar) AS out_dir, c_mktsegment AS base, c_custkey AS ord FROM customer WHERE c_custkey % 4 <> 0))")
+@query("""SELECT path, out_dir, CASE WHEN n = 1 THEN base ELSE base || ' (' || cast(n AS varchar) || ')' END AS name
+  FROM (SELECT *, row_number() OVER (PARTITION BY out_dir, base ORDER BY ord) AS n FROM (SELECT 'f' || cast(c_custkey AS varchar) AS path, 'd' ||
+  cast(c_nationkey AS varchar) AS out_dir, c_mktsegment AS base, c_custkey AS ord FROM customer WHERE c_custkey % 4 <> 0))""")
 def output_names(spark, sf_dir):
     files = read(spark, sf_dir, "customer").selectExpr("concat('f', cast(c_custkey AS string)) AS path", "concat('d', cast(c_nationkey AS string)) AS out_dir", "c_mktsegment AS base", "c_custkey AS ord", "c_custkey % 4 <> 0 AS ok")
     return runs.unique_names(files).select("path", "out_dir", "name")
@@ -216,7 +242,8 @@ def artifact_missing(spark, sf_dir):
     return runs.missing_artifacts(*artifacts(spark, sf_dir)).select("model", "name", "bytes")
 
 
-@query("SELECT p_brand AS model, cast(sum(p_partkey * 1000003) AS bigint) AS total_bytes, count(*) FILTER (p_partkey % 10 = 0 OR p_partkey % 17 = 0) AS n_missing, count(*) FILTER (p_partkey % 10 = 0 OR p_partkey % 17 = 0) = 0 AS ready FROM part GROUP BY p_brand")
+@query("""SELECT p_brand AS model, cast(sum(p_partkey * 1000003) AS bigint) AS total_bytes, count(*) FILTER (p_partkey % 10 = 0
+  OR p_partkey % 17 = 0) AS n_missing, count(*) FILTER (p_partkey % 10 = 0 OR p_partkey % 17 = 0) = 0 AS ready FROM part GROUP BY p_brand""")
 def artifact_status(spark, sf_dir):
     return runs.model_status(*artifacts(spark, sf_dir)).select("model", "total_bytes", F.size("missing").cast("long").alias("n_missing"), "ready")
 
@@ -236,11 +263,13 @@ def artifact_duplicates(spark, sf_dir):
 @query("SELECT source AS model, count(*) AS files, cast(sum(strlen(text)) AS bigint) AS bytes, min(sha256(text)) AS least FROM documents GROUP BY source")
 def manifest_built(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("source").alias("model"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
-    built = runs.build_manifest(docs)
-    return built.select("model", F.size("files").cast("long").alias("files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["bytes"]).alias("bytes"), F.array_min(F.transform("files", lambda f: f["sha256"])).alias("least"))
+    rows = runs.manifest_rows(docs)
+    return rows.groupBy("model").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min("sha256").alias("least"))
 
 
-@query(f"SELECT doc_id, problem FROM (SELECT doc_id, unnest([CASE WHEN NOT contains(text, '[REDACTED_') THEN 'no placeholder' END, CASE WHEN contains(lower(text), 'epistaxis') THEN 'raw value' END]) AS problem FROM ({o.REDACTED.replace(' AS redacted_text', ' AS text')})) WHERE problem IS NOT NULL")
+@query(f"""SELECT doc_id, problem FROM (SELECT doc_id, unnest([CASE WHEN NOT contains(text, '[REDACTED_') THEN 'no placeholder' END, CASE
+  WHEN contains(lower(text), 'epistaxis') THEN 'raw value' END]) AS problem FROM ({o.REDACTED.replace(' AS redacted_text', ' AS text')}))
+  WHERE problem IS NOT NULL""")
 def leak_audit(spark, sf_dir):
     return runs.leaks(redact_documents(texts(spark, sf_dir)).select("doc_id", F.col("redacted_text").alias("text")), ["Epistaxis"])
 
@@ -254,19 +283,22 @@ def table_reindexed(spark, sf_dir):
     return tables.reindexed(cells).select("table_id", "ord", "row", "col")
 
 
-@query("SELECT l_orderkey AS table_id, l_suppkey % 7 AS col, l_partkey % 50 AS row, count(*) AS n_boxes, bool_or(l_linenumber = 1) AS header FROM lineitem GROUP BY 1, 2, 3")
+@query("""SELECT l_orderkey AS table_id, l_suppkey % 7 AS col, l_partkey % 50 AS row, count(*) AS n_boxes, bool_or(l_linenumber = 1) AS header FROM lineitem
+  GROUP BY 1, 2, 3""")
 def table_cells_merged(spark, sf_dir):
     cells = read(spark, sf_dir, "lineitem").selectExpr(*CELLS.split(", "), "l_quantity AS l", "l_quantity AS t", "l_quantity AS r", "l_quantity AS b", "l_linenumber = 1 AS header")
     return tables.merged_cells(cells).select("table_id", "col", "row", F.size("boxes").cast("long").alias("n_boxes"), "header")
 
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS cid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 3, l_suppkey % 5, l_partkey % 11, l_linenumber) AS place FROM lineitem")
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS cid, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_partkey % 3, l_suppkey % 5, l_partkey % 11, l_linenumber) AS place FROM lineitem""")
 def reading_order(spark, sf_dir):
     e = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS cid", "l_partkey % 3 AS page_no", "l_suppkey % 5 AS t", "l_partkey % 11 AS l")
     return tables.reading_order(e).select("doc_id", "cid", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT l_orderkey AS table_id, l_partkey AS token_id, arg_max(l_suppkey, l_linenumber * 100000 + l_suppkey) AS cell_id, bool_or(l_returnflag = 'R') AS header, min(l_linestatus) AS label FROM lineitem GROUP BY 1, 2")
+@query("""SELECT l_orderkey AS table_id, l_partkey AS token_id, arg_max(l_suppkey, l_linenumber * 100000 + l_suppkey) AS cell_id, bool_or(l_returnflag = 'R') AS header, min(l_linestatus) AS label
+  FROM lineitem GROUP BY 1, 2""")
 def table_cells_matched(spark, sf_dir):
     m = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS table_id", "l_partkey AS token_id", "l_suppkey AS cell_id", "l_linenumber * 100000 + l_suppkey AS ord", "l_returnflag = 'R' AS header", "l_linestatus AS label")
     return tables.matched_cells(m)
@@ -275,7 +307,10 @@ def table_cells_matched(spark, sf_dir):
 BOX = "cast(p_partkey % 100 AS double) AS cx, cast(p_size AS double) AS cy, cast(p_partkey % 40 AS double) AS w, cast(p_partkey % 30 AS double) AS h"
 
 
-@query("SELECT p_partkey, greatest(cx - w / 2, 0) AS l, greatest(cy - h / 2, 0) AS t, least(cx + w / 2, 80) AS r, least(cy + h / 2, 40) AS b FROM (SELECT p_partkey, cast(p_partkey % 100 AS double) AS cx, cast(p_size AS double) AS cy, cast(p_partkey % 40 AS double) AS w, cast(p_partkey % 30 AS double) AS h FROM part) WHERE least(greatest(cx + w / 2, 0), 80) > least(greatest(cx - w / 2, 0), 80) AND least(greatest(cy + h / 2, 0), 40) > least(greatest(cy - h / 2, 0), 40)")
+@query("""SELECT p_partkey, greatest(cx - w / 2, 0) AS l, greatest(cy - h / 2, 0) AS t, least(cx + w / 2, 80) AS r, least(cy + h / 2, 40) AS b
+  FROM (SELECT p_partkey, cast(p_partkey % 100 AS double) AS cx, cast(p_size AS double) AS cy, cast(p_partkey % 40 AS double) AS w,
+  cast(p_partkey % 30 AS double) AS h FROM part) WHERE least(greatest(cx + w / 2, 0), 80) > least(greatest(cx - w / 2, 0), 80)
+  AND least(greatest(cy + h / 2, 0), 40) > least(greatest(cy - h / 2, 0), 40)""")
 def boxes_clamped(spark, sf_dir):
     boxes = read(spark, sf_dir, "part").selectExpr("p_partkey", *BOX.split(", "), "80.0D AS width", "40.0D AS height")
     return tables.clamped(tables.corners(boxes)).select("p_partkey", "l", "t", "r", "b")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.pipeline import redact_documents
 
@@ -29,18 +29,33 @@ def redact_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, t
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
-def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, seq, counts, counts_seq, error = state.get if state.exists else (None, -1, None, -1, None)
-    for b in batches:
-        for r in b.itertuples():
-            if r.seq >= seq:
-                status, seq, error = r.stage, r.seq, r.error
-            if r.counts and r.seq >= counts_seq:
-                counts, counts_seq = dict(r.counts), r.seq
-    state.update((status, int(seq), counts, int(counts_seq), error))
-    yield pd.DataFrame([{"path": key[0], "status": status, "counts": counts, "error": error}])
+class Latest(StatefulProcessor):
+    """Keeps each path's latest state; events that come late change nothing that is newer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("latest", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, seq, counts, counts_seq, error = self.state.get() if self.state.exists() else (None, -1, None, -1, None)
+        for b in rows:
+            for r in b.itertuples():
+                if r.seq >= seq:
+                    status, seq, error = r.stage, r.seq, r.error
+                if r.counts and r.seq >= counts_seq:
+                    counts, counts_seq = dict(r.counts), r.seq
+        self.state.update((status, int(seq), counts, int(counts_seq), error))
+        yield pd.DataFrame([{"path": key[0], "status": status, "counts": counts, "error": error}])
+
+    def close(self) -> None:
+        pass
+
+
+#: State of this kind needs the store that keeps it on disk.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def queue_stream(events: DataFrame) -> DataFrame:
-    """The latest state of each path, in update mode, from a stream of events; late ones change nothing that is newer."""
-    return events.groupBy("path").applyInPandasWithState(latest, "path string, status string, counts map<string,bigint>, error string", STATE, "update", GroupStateTimeout.NoTimeout)
+    """The latest state of each path, in update mode, from a stream of events; sets the session's state store to ROCKS."""
+    events.sparkSession.conf.set(STORE, ROCKS)
+    return events.groupBy("path").transformWithStateInPandas(Latest(), "path string, status string, counts map<string,bigint>, error string", "update", "none")

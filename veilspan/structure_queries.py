@@ -32,10 +32,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: A tag sequence for each order: one tag for each line number that it has.
 TAGS = ("fcel", "lcel", "ecel", "ucel", "nl", "xcel", "lcel", "ched")
 TAG = "CASE p % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TAGS)) + " END"
-LINES = "SELECT l_orderkey AS table_id, l_linenumber AS ord, max(l_partkey) AS p, cast(max(l_quantity) AS double) AS q, cast(max(l_suppkey) AS double) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber"
+LINES = """SELECT l_orderkey AS table_id, l_linenumber AS ord, max(l_partkey) AS p, cast(max(l_quantity) AS double) AS q, cast(max(l_suppkey) AS double) AS s
+  FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 TAGS_SQL = f"SELECT table_id, ord, {TAG} AS tag FROM ({LINES})"
 #: As many boxes as an order has tags, numbered from 0.
-BOXES_SQL = f"SELECT table_id, cast(row_number() OVER (PARTITION BY table_id ORDER BY ord) - 1 AS int) AS box, q AS cx, s AS cy, q / 4 AS w, s / 8 + 1 AS h FROM ({LINES})"
+BOXES_SQL = f"""SELECT table_id, cast(row_number() OVER (PARTITION BY table_id ORDER BY ord) - 1 AS int) AS box, q AS cx, s AS cy, q / 4 AS w, s / 8 + 1 AS h
+  FROM ({LINES})"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +111,15 @@ def table_tag_names(spark, sf_dir):
     return found.where(F.size("t") > 2).select("table_id", F.array_join(names, ",").alias("tags"))
 
 
-CELL = "l_orderkey AS table_id, l_linenumber AS cell_id, l_partkey % 9 AS row_id, l_suppkey % 7 AS column_id, CASE WHEN l_partkey % 2 = 0 THEN 2 END AS row_span, cast(NULL AS int) AS col_span, CASE l_partkey % 4 WHEN 0 THEN 'ched' WHEN 1 THEN 'rhed' WHEN 2 THEN 'srow' END AS label, l_quantity AS l, l_quantity AS t, l_tax AS r, l_tax AS b"
+CELL = """l_orderkey AS table_id, l_linenumber AS cell_id, l_partkey % 9 AS row_id, l_suppkey % 7 AS column_id, CASE
+  WHEN l_partkey % 2 = 0 THEN 2 END AS row_span, cast(NULL AS int) AS col_span, CASE l_partkey % 4 WHEN 0 THEN 'ched' WHEN 1 THEN 'rhed'
+  WHEN 2 THEN 'srow' END AS label, l_quantity AS l, l_quantity AS t, l_tax AS r, l_tax AS b"""
 
 
-@query("SELECT l_orderkey AS table_id, l_linenumber AS cell_id, l_partkey % 9 AS start_row, l_suppkey % 7 AS start_col, CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE 1 END AS row_span, 1 AS col_span, l_partkey % 9 + CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE 1 END AS end_row, l_suppkey % 7 + 1 AS end_col, l_partkey % 4 = 0 AS column_header, l_partkey % 4 = 1 AS row_header, l_partkey % 4 = 2 AS row_section, l_quantity AS l, l_quantity AS t, l_tax AS r, l_tax AS b FROM lineitem")
+@query("""SELECT l_orderkey AS table_id, l_linenumber AS cell_id, l_partkey % 9 AS start_row, l_suppkey % 7 AS start_col, CASE WHEN l_partkey % 2 = 0 THEN 2
+  ELSE 1 END AS row_span, 1 AS col_span, l_partkey % 9 + CASE WHEN l_partkey % 2 = 0 THEN 2
+  ELSE 1 END AS end_row, l_suppkey % 7 + 1 AS end_col, l_partkey % 4 = 0 AS column_header, l_partkey % 4 = 1 AS row_header, l_partkey % 4 = 2 AS row_section, l_quantity AS l, l_quantity AS t, l_tax AS r, l_tax AS b
+  FROM lineitem""")
 def table_structure_cells(spark, sf_dir):
     return tables.structure_cells(read(spark, sf_dir, "lineitem").selectExpr(*(f"{c.strip()}" for c in CELL.split(", "))))
 
@@ -120,16 +127,21 @@ def table_structure_cells(spark, sf_dir):
 PAGE = "p_partkey, p_partkey % 90 + 0.5 AS l, p_size + 0.5 AS t, p_partkey % 90 + p_size * 1.0 AS r, p_size * 3 + 0.25 AS b"
 
 
-@query(f"SELECT p_partkey, round_even(l, 0) * 2 AS l, round_even(t, 0) * 2 AS t, round_even(r, 0) * 2 AS r, round_even(b, 0) * 2 AS b FROM (SELECT p_partkey, cast(l AS double) AS l, cast(t AS double) AS t, cast(r AS double) AS r, cast(b AS double) AS b FROM (SELECT {PAGE} FROM part))")
+@query(f"""SELECT p_partkey, round_even(l, 0) * 2 AS l, round_even(t, 0) * 2 AS t, round_even(r, 0) * 2 AS r, round_even(b, 0) * 2 AS b FROM (SELECT p_partkey,
+  cast(l AS double) AS l, cast(t AS double) AS t, cast(r AS double) AS r, cast(b AS double) AS b FROM (SELECT {PAGE} FROM part))""")
 def table_page_boxes(spark, sf_dir):
     return tables.page_boxes(read(spark, sf_dir, "part").selectExpr(*PAGE.split(", "))).select("p_partkey", *"ltrb")
 
 
-CROP = "p_partkey, cast(p_partkey % 90 - 10 AS double) AS l, cast(p_size - 5 AS double) AS t, cast(p_partkey % 90 + 30 AS double) AS r, cast(p_size * 40 AS double) AS b, 64.0 + p_size AS page_width, 512.0 AS page_height"
+CROP = """p_partkey, cast(p_partkey % 90 - 10 AS double) AS l, cast(p_size - 5 AS double) AS t, cast(p_partkey % 90 + 30 AS double) AS r,
+  cast(p_size * 40 AS double) AS b, 64.0 + p_size AS page_width, 512.0 AS page_height"""
 CUT = {c: f"least(greatest({c} * 2.0, 0), {m})" for c, m in (("l", "floor((64.0 + p_size) * 2)"), ("t", "1024"), ("r", "floor((64.0 + p_size) * 2)"), ("b", "1024"))}
 
 
-@query(f"SELECT p_partkey, l, t, r, b, cast(round_even(l, 0) AS int) AS x0, cast(round_even(t, 0) AS int) AS y0, cast(round_even(r, 0) AS int) AS x1, cast(round_even(b, 0) AS int) AS y1, round_even(r, 0) <= round_even(l, 0) OR round_even(b, 0) <= round_even(t, 0) AS empty, l / 2 AS l_back FROM (SELECT p_partkey, {', '.join(f'cast({x} AS double) AS {c}' for c, x in CUT.items())} FROM (SELECT *, {CROP.replace('p_partkey, ', '', 1)} FROM part))")
+@query(f"""SELECT p_partkey, l, t, r, b, cast(round_even(l, 0) AS int) AS x0, cast(round_even(t, 0) AS int) AS y0, cast(round_even(r, 0) AS int) AS x1,
+  cast(round_even(b, 0) AS int) AS y1, round_even(r, 0) <= round_even(l, 0) OR round_even(b, 0) <= round_even(t, 0) AS empty, l / 2 AS l_back
+  FROM (SELECT p_partkey, {', '.join(f'cast({x} AS double) AS {c}' for c, x in CUT.items())} FROM (SELECT *, {CROP.replace('p_partkey, ', '', 1)}
+  FROM part))""")
 def table_crops(spark, sf_dir):
     boxes = read(spark, sf_dir, "part").selectExpr("p_size", *CROP.split(", ")).withColumns({c: F.col(c).cast("double") for c in ("page_width", "page_height")})
     return tables.crops(boxes).select("p_partkey", *"ltrb", "x0", "y0", "x1", "y1", "empty", "l_back")
@@ -142,7 +154,8 @@ def table_pages(spark, sf_dir):
     return tables.page_tables(pages, new).select("page", F.array_join("tables", ",").alias("tables"))
 
 
-@query("SELECT c_custkey AS cid, lower(c_mktsegment) AS label FROM customer WHERE c_mktsegment IN ('FURNITURE', 'BUILDING') AND c_custkey % 2 = 0 OR c_custkey % 5 = 0 AND c_custkey < 0")
+@query("""SELECT c_custkey AS cid, lower(c_mktsegment) AS label FROM customer WHERE c_mktsegment IN ('FURNITURE', 'BUILDING') AND c_custkey % 2 = 0
+  OR c_custkey % 5 = 0 AND c_custkey < 0""")
 def table_clusters(spark, sf_dir):
     c = read(spark, sf_dir, "customer").selectExpr("c_custkey AS cid", "c_mktsegment", "CASE WHEN c_mktsegment = 'FURNITURE' AND c_custkey % 2 = 0 THEN 'table' WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0 THEN 'document_index' ELSE 'text' END AS label")
     return tables.table_clusters(c).select("cid", F.lower("c_mktsegment").alias("label"))
@@ -165,7 +178,8 @@ def queue_removed(spark, sf_dir):
     return runs.queue_remove(queue, gone.selectExpr("concat('p', cast(s_nationkey AS string)) AS path"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_custkey || ' fájl' WHEN c_custkey % 4 IN (1, 2) THEN c_custkey || ' files' ELSE 'missing' END AS text FROM customer")
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_custkey || ' fájl' WHEN c_custkey % 4 IN (1, 2) THEN c_custkey || ' files'
+  ELSE 'missing' END AS text FROM customer""")
 def strings_localized(spark, sf_dir):
     words = F.create_map(*[F.lit(x) for kv in {"hu.files": "{n} fájl", "en.files": "{n} files"}.items() for x in kv])
     language = F.when(F.col("c_custkey") % 4 == 0, "hu").when(F.col("c_custkey") % 4 == 1, "en").otherwise("de")
@@ -173,7 +187,8 @@ def strings_localized(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), runs.localized(words, language, key, {"n": F.col("c_custkey")}).alias("text"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN '/given' WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN '/app/models' WHEN c_custkey % 2 = 0 THEN '/home/u/models' ELSE '/src/models' END AS dir FROM customer")
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN '/given' WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0
+  AND c_custkey % 5 <> 0 THEN '/app/models' WHEN c_custkey % 2 = 0 THEN '/home/u/models' ELSE '/src/models' END AS dir FROM customer""")
 def model_dirs(spark, sf_dir):
     n = lambda k: F.col("c_custkey") % k == 0
     place = runs.model_dir(F.when(n(7), "/given").otherwise(""), n(2), n(3), F.lit("/app"), F.lit("/src"), F.lit("/home/u"), n(5))
