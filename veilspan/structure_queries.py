@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -143,7 +144,7 @@ CUT = {c: f"least(greatest({c} * 2.0, 0), {m})" for c, m in (("l", "floor((64.0
   FROM (SELECT p_partkey, {', '.join(f'cast({x} AS double) AS {c}' for c, x in CUT.items())} FROM (SELECT *, {CROP.replace('p_partkey, ', '', 1)}
   FROM part))""")
 def table_crops(spark, sf_dir):
-    boxes = read(spark, sf_dir, "part").selectExpr("p_size", *CROP.split(", ")).withColumns({c: F.col(c).cast("double") for c in ("page_width", "page_height")})
+    boxes = read(spark, sf_dir, "part").selectExpr("p_size", *re.split(r",\s+", CROP)).withColumns({c: F.col(c).cast("double") for c in ("page_width", "page_height")})
     return tables.crops(boxes).select("p_partkey", *"ltrb", "x0", "y0", "x1", "y1", "empty", "l_back")
 
 
