@@ -5,9 +5,7 @@ Krichevsky-Trofimov estimate of its training counts, and the estimates of all de
 context-tree weighting gives them: half a node's own estimate, half the product of what its children make of it.  The
 estimate of counts doesn't depend on their order, so that a tree is made from counts, which Spark adds up.
 
-A child that training never saw says even odds, as context-tree weighting has it (unseen="even"), or hands the decision
-back to the longest context that training did see (unseen="longest"): there, the node's own estimate stands alone.  Both
-are probabilities, and the trees' weights are the same; the second one scores held-out text better and is the default.
+A child that training never saw says even odds, as its estimate and those below it do.
 
 Texts are gathered in blocks of about BLOCK bytes.  A block asks once for each different gram and word in it.  Grams are
 cut into ranges of equal size by quantiles, so that a context however frequent is split over ranges; the few contexts that
@@ -33,7 +31,7 @@ from .common import slices, split_of_crc32, table, utf8, written
 from .hashing import FOLD, Batch
 
 #: Bytes of context.
-DEPTH = 5
+DEPTH = 6
 #: Bytes of text of a block, and of those whose grams are held at once; keys of a row; keys that a range is asked for.
 BLOCK, SLICE, CHUNK, RANGE = 1 << 25, 1 << 19, 1 << 13, 1 << 22
 #: Bits of a gram's key; cuts are put between contexts of DEPTH - 1 bytes.
@@ -109,8 +107,9 @@ def tally(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of three kinds: TEXT (doc_id, text, held_out), and what their block asks for, CHUNK keys a row: first, size, keys,
-    counts (in the block's training rows).  A block's number is random: only rows of tasks that ended well are kept.
+    """Rows of three kinds: TEXT, a slice of texts (ids, held_out, sizes, texts compressed, size: that of them all), and what
+    their block asks for, CHUNK keys a row: first, size, keys, counts (in the block's training rows).  A block's number is
+    random: only rows of tasks that ended well are kept.
     """
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
 
@@ -120,7 +119,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def row(kinds: list[int], **cols) -> pa.RecordBatch:
             n = len(kinds)
-            none = {"doc_id": id_type, "text": pa.binary(), "held_out": pa.bool_(), "first": pa.int64(), "size": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+            none = {"ids": pa.list_(id_type), "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "first": pa.int64(), "size": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
             filled = {"block": pa.array([block] * n, pa.int64()), "kind": pa.array(kinds, pa.int8())} | {c: cols.get(c, pa.nulls(n, t)) for c, t in none.items()}
             return pa.RecordBatch.from_arrays(list(filled.values()), names=list(filled))
 
@@ -129,7 +128,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 key, n = added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 for i in range(0, len(key), 64 * CHUNK):
                     some = [(key[j : j + CHUNK], n[j : j + CHUNK]) for j in range(i, min(len(key), i + 64 * CHUNK), CHUNK)]
-                    yield row([kind] * len(some), first=pa.array([k[0].view(np.int64) for k, _ in some], pa.int64()), size=pa.array([len(k) for k, _ in some], pa.int32()), keys=pa.array([pack_keys(k) for k, _ in some], pa.binary()), counts=pa.array([pack(m) for _, m in some], pa.binary()))
+                    yield row([kind] * len(some), first=pa.array([k[0].view(np.int64) for k, _ in some], pa.int64()), size=pa.array([len(k) for k, _ in some], pa.int64()), keys=pa.array([pack_keys(k) for k, _ in some], pa.binary()), counts=pa.array([pack(m) for _, m in some], pa.binary()))
                 parts.clear()
             pa.default_memory_pool().release_unused()
 
@@ -142,15 +141,16 @@ def blocks(docs: DataFrame) -> DataFrame:
             for parts in held:
                 if len(parts) >= 8:
                     parts[:] = [added(parts)]
-            yield row([TEXT] * len(batch), doc_id=batch["doc_id"], text=pa.array(texts, pa.binary()), held_out=batch["held_out"])
-            size += sum(map(len, texts))
+            whole, one = b"".join(texts), lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            yield row([TEXT], ids=one(batch["doc_id"]), held_out=one(batch["held_out"]), sizes=one(pa.array([len(t) for t in texts], pa.int64())), texts=pa.array([pa.compress(whole, "zstd", asbytes=True)], pa.binary()), size=pa.array([len(whole)], pa.int64()))
+            size += len(whole)
             if size >= BLOCK:
                 yield from asked()
                 block, size = uuid.uuid4().int >> 65, 0
         if held[GRAMS]:
             yield from asked()
 
-    return docs.mapInArrow(run, f"block long, kind byte, doc_id {kind_of_id}, text binary, held_out boolean, first long, size int, keys binary, counts binary")
+    return docs.mapInArrow(run, f"block long, kind byte, ids array<{kind_of_id}>, held_out array<boolean>, sizes array<bigint>, texts binary, first long, size long, keys binary, counts binary")
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -235,7 +235,7 @@ def upward(node: np.ndarray, bit: int) -> np.ndarray:
     return node >> np.uint64(bit + 8) << np.uint64(bit) | node & low
 
 
-def probabilities(key: np.ndarray, levels: Iterable[list[Level]], unseen: str = "longest", most: int = 200_000) -> np.ndarray:
+def probabilities(key: np.ndarray, levels: Iterable[list[Level]], most: int = 200_000) -> np.ndarray:
     """log10 of each gram's byte given its context; levels: by bit, from depth 0 on."""
     total = np.zeros(len(key))
     for bit, by_depth in enumerate(levels):
@@ -243,15 +243,10 @@ def probabilities(key: np.ndarray, levels: Iterable[list[Level]], unseen: str =
             some = key[i : i + most]
             one = (some >> np.uint64(7 - bit) & ONE).astype(bool)
             node = some >> np.uint64(8 - bit) if bit else some >> np.uint64(8)
-            q, below = np.full(len(some), 0.5), np.zeros(len(some), bool)
+            q = np.full(len(some), 0.5)
             for depth in range(DEPTH, -1, -1):
                 seen, own, weight = by_depth[depth].look(node, one)
-                if depth == DEPTH:
-                    weight = np.ones(len(some))
-                elif unseen == "longest":
-                    weight = np.where(below, weight, 1.0)
-                q = np.where(seen, weight * own + (1 - weight) * q, q)
-                below |= seen
+                q = np.where(seen, own if depth == DEPTH else weight * own + (1 - weight) * q, 0.5)
                 node = upward(node, bit)
             total[i : i + most] += np.log10(q)
     return total
@@ -287,9 +282,9 @@ def dealt(asked: DataFrame, cuts: Cuts) -> DataFrame:
                 for a, b in zip(edge, edge[1:], strict=False):
                     out.append((int(part[a]), block, kind, int(key[a].view(np.int64)), b - a, pack_keys(key[a:b]), pack(n[a:b])))
             cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "kind", "first", "size", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "kind", "first", "size", "keys", "counts"])
 
-    return asked.mapInArrow(run, "part int, block long, kind byte, first long, size int, keys binary, counts binary").repartition("part").sortWithinPartitions("part")
+    return asked.mapInArrow(run, "part int, block long, kind byte, first long, size long, keys binary, counts binary").repartition("part").sortWithinPartitions("part")
 
 
 def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], np.ndarray, np.ndarray]]:
@@ -365,22 +360,22 @@ def mended(levels: Iterable[list[Level]], top: list[list[Level]], first: np.uint
         yield by_depth
 
 
-def answers(parts: DataFrame, cuts: Cuts, top: list[list[Level]], unseen: str) -> DataFrame:
+def answers(parts: DataFrame, top: list[list[Level]]) -> DataFrame:
     """block, kind, first, size, keys, values: a word's training count, or the logarithm of a gram's probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, rows, key, n in whole_parts(batches):
             if kind == GRAMS:
-                value = probabilities(key, mended(trees_in_turn(key[n > 0], n[n > 0], 0), top, key[0], key[-1]), unseen).astype("<f4")
+                value = probabilities(key, mended(trees_in_turn(key[n > 0], n[n > 0], 0), top, key[0], key[-1])).astype("<f4")
             for i in range(0, len(rows), 64):
                 some, found = rows[i : i + 64], []
                 for _, first, size, keys in some:
                     at = np.searchsorted(key, unpack_keys(first, keys, size))
                     found.append(value[at].tobytes() if kind == GRAMS else pack(n[at].astype(np.uint64)))
                 block, first, size, keys = zip(*some, strict=True)
-                yield pa.record_batch({"block": pa.array(block, pa.int64()), "kind": pa.array([kind] * len(some), pa.int8()), "first": pa.array(first, pa.int64()), "size": pa.array(size, pa.int32()), "keys": pa.array(keys, pa.binary()), "values": pa.array(found, pa.binary())})
+                yield pa.record_batch({"block": pa.array(block, pa.int64()), "kind": pa.array([kind] * len(some), pa.int8()), "first": pa.array(first, pa.int64()), "size": pa.array(size, pa.int64()), "keys": pa.array(keys, pa.binary()), "values": pa.array(found, pa.binary())})
 
-    return parts.mapInArrow(run, "block long, kind byte, first long, size int, keys binary, values binary")
+    return parts.mapInArrow(run, "block long, kind byte, first long, size long, keys binary, values binary")
 
 
 def looked_up(tables: list[tuple[np.ndarray, np.ndarray]], kind: int, key: np.ndarray) -> np.ndarray:
@@ -398,6 +393,18 @@ def looked_up(tables: list[tuple[np.ndarray, np.ndarray]], kind: int, key: np.nd
 def rated(rows: DataFrame, n_all: int, n_types: int, id_kind: str) -> DataFrame:
     """From a block's answers, then its texts: the columns of score()."""
 
+    def rate(ids: pa.Array, held_out: pa.Array, sizes: list[int], whole: bytes, tables: list) -> pa.RecordBatch:
+        ends = np.cumsum(sizes).tolist()
+        texts = [whole[b - a : b] for a, b in zip(sizes, ends, strict=True)]
+        n, (key, doc) = len(texts), words(texts)
+        c = looked_up(tables, WORDS, key)
+        key, of = grams(texts)
+        total, size = np.bincount(of, looked_up(tables, GRAMS, key), n), np.array(sizes, np.int64)
+        base = np.bincount(doc, np.log10((c + 1) / (n_all + n_types + 1)), n)
+        known = np.bincount(doc, c > 0, n).astype(np.int64)
+        numbers = (np.bincount(doc, minlength=n).astype(np.int64), known, np.full(n, n_all), base, total, size, -total / np.log10(2) / np.maximum(size, 1))
+        return pa.RecordBatch.from_arrays([ids, held_out, *map(pa.array, numbers)], names=["doc_id", "held_out", *NUMBERS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chunks, tables = None, [[], []], None
         for batch in batches:
@@ -420,15 +427,8 @@ def rated(rows: DataFrame, n_all: int, n_types: int, id_kind: str) -> DataFrame:
                         some.sort(key=lambda c: int(c[0][0]))
                         tables.append(tuple(np.concatenate(x) for x in zip(*some, strict=True)) if some else (np.zeros(0, np.uint64), np.zeros(0)))
                     chunks = [[], []]
-                for some in slices(iter([part]), most=SLICE // 2):
-                    texts = utf8(some["text"])
-                    n, (key, doc) = len(texts), words(texts)
-                    c = looked_up(tables, WORDS, key)
-                    key, of = grams(texts)
-                    total, sizes = np.bincount(of, looked_up(tables, GRAMS, key), n), np.array([len(t) for t in texts], np.int64)
-                    base = np.bincount(doc, np.log10((c + 1) / (n_all + n_types + 1)), n)
-                    known = np.bincount(doc, c > 0, n).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([some["doc_id"], some["held_out"], pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(known), pa.array(np.full(n, n_all)), pa.array(base), pa.array(total), pa.array(sizes), pa.array(-total / np.log10(2) / np.maximum(sizes, 1))], names=["doc_id", "held_out", *NUMBERS])
+                for i, (whole, size) in enumerate(zip(part["texts"].to_pylist(), part["size"].to_pylist(), strict=True)):
+                    yield rate(part["ids"].slice(i, 1).flatten(), part["held_out"].slice(i, 1).flatten(), part["sizes"][i].as_py(), pa.decompress(whole, size, "zstd", asbytes=True), tables)
             pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
@@ -437,7 +437,7 @@ def rated(rows: DataFrame, n_all: int, n_types: int, id_kind: str) -> DataFrame:
 NUMBERS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
-def score(docs: DataFrame, unseen: str = "longest") -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row.
 
     Learns from rows with crc32(id) mod 7 other than 2.  Both are logarithms to base 10: base_score of a unigram model of
@@ -457,8 +457,8 @@ def score(docs: DataFrame, unseen: str = "longest") -> DataFrame:
     spines = spine(dealt(asked, cuts), cuts).toPandas()
     top, of_words = top_levels(spines), spines[spines["bit"] == -1]
     n_all, n_types = int(of_words["zeros"].sum()), int(of_words["ones"].sum())
-    given = answers(dealt(asked, cuts), cuts, top, unseen)
-    texts = rows.where(F.col("kind") == TEXT).select("block", "kind", "doc_id", "text", "held_out")
+    given = answers(dealt(asked, cuts), top)
+    texts = rows.where(F.col("kind") == TEXT).select("block", "kind", "size", "ids", "held_out", "sizes", "texts")
     both = given.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
     return rated(both, n_all, n_types, docs.schema["doc_id"].dataType.simpleString())
 
