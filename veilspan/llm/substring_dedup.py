@@ -33,7 +33,7 @@ WIDTH, GRAM = 200, 32
 #: Bytes of slices that share a suffix array, if they belong to several anchors.
 SHARD = 1 << 20
 #: Occurrences up to which an anchor isn't split; each further time it is split from 8 times as many on.
-HOT = 4096
+HOT = 1024
 #: In a 64-bit value that orders grams, the low bits hold the place in the buffer (256 MB), the others the hash.
 PLACE = np.uint64((1 << 28) - 1)
 #: Longer texts are cut for their anchors.
@@ -241,7 +241,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL: every window by its digest, runs of windows that occur again, and what is left between them.
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-  w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 2 * {WIDTH})) AS k FROM (SELECT r, h, unnest(generate_series(0, n - {WIDTH})) AS i FROM d WHERE n >= {WIDTH})),
+  c AS (SELECT r, p, least(255, n - {WIDTH} - 256 * p) AS most, substr(h, 512 * p + 1, 2 * (255 + {WIDTH})) AS c FROM (SELECT r, h, n, unnest(generate_series(0, (n - {WIDTH}) // 256)) AS p FROM d WHERE n >= {WIDTH})),
+  w AS (SELECT r, 256 * p + i AS i, md5(substr(c, 2 * i + 1, 2 * {WIDTH})) AS k FROM (SELECT r, p, c, unnest(generate_series(0, most)) AS i FROM c)),
   g AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
   f AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {WIDTH} THEN 0 ELSE 1 END AS fresh FROM g),
   s AS (SELECT r, min(i) AS a, max(i) + {WIDTH} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM f) GROUP BY r, k),
