@@ -12,7 +12,6 @@ import time
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,11 +284,9 @@ def test_toxicity(spark, empty):
 def test_trees_give_probabilities():
     texts = [b"abracadabra", b"abrakadabra", b"", b"cad"]
     key, n = np.unique(lm_scoring.grams(texts)[0], return_counts=True)
-    for unseen in ("longest", "even"):
-        for context in (key[0], key[len(key) // 2], np.uint64(0x6162636465 << 8)):
-            every = (context >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-            got = lm_scoring.probabilities(every, lm_scoring.trees_in_turn(key, n, 0), unseen)
-            assert math.isclose((10.0**got).sum(), 1.0, rel_tol=1e-9)
+    for context in (key[0], key[len(key) // 2], np.uint64(0x6162636465 << 8)):
+        every = (context >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert math.isclose((10.0 ** lm_scoring.probabilities(every, lm_scoring.trees_in_turn(key, n, 0))).sum(), 1.0, rel_tol=1e-9)
     x = np.array([0.5, 1.0, 7.5, 1e5])
     assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-8)
 
@@ -339,7 +336,7 @@ def test_lm_scoring(spark, docs, table, empty):
     assert all(r["score"] < 0 for r in got) and lm_scoring.score(empty).count() == 0
 
 
-def plain_score(texts, train, unseen):
+def plain_score(texts, train):
     """log10 probability of each text from nested dicts of counts, by the definition."""
     depth, edge = lm_scoring.DEPTH, 255
     lower = [bytes(b + 32 if 65 <= b < 91 else b for b in t) for t in texts]
@@ -370,7 +367,7 @@ def plain_score(texts, train, unseen):
         c = counts[context[:d], prefix]
         own = (c[one] + 0.5) / (sum(c) + 1)
         below = predict(context, prefix, one, d + 1) if d < depth else None
-        if d == depth or below is None and unseen == "longest":
+        if d == depth:
             return own
         kt, weighted = weights((context[:d], prefix))
         w = math.exp(kt - math.log(2) - weighted)
@@ -387,16 +384,15 @@ def plain_score(texts, train, unseen):
     return out
 
 
-@pytest.mark.parametrize("unseen", ["longest", "even"])
-def test_scores_of_whole_texts(spark, unseen):
+def test_scores_of_whole_texts(spark):
     """Every text's score against a plain recursion, with so many ranges that contexts of all depths are cut."""
     rn = random.Random(21)
     words = ["alpha", "Beta", "gamma", "delta", "éta", "theta", "iota", "kappa"]
     rows = [(i, " ".join(rn.choice(words) for _ in range(rn.randint(0, 60)))) for i in range(60)] + [(70, None), (71, "zzz \n\tQQQ"), (72, "x" * 500)]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
-    want = plain_score([(t or "").encode() for _, t in rows], train, unseen)
+    want = plain_score([(t or "").encode() for _, t in rows], train)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(d, unseen).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(d).collect()}
     assert all(math.isclose(got[i], w, rel_tol=1e-6) for (i, _), w in zip(rows, want, strict=True))
 
 
@@ -435,6 +431,19 @@ def test_secrets_against_the_contract():
         assert [(a, k, b) for k, a, b in got if k != "random"] == want
 
 
+def test_secrets_of_long_texts():
+    """Tens of thousands of spans and tokens in one text, in time that grows with it."""
+    rn, letters = random.Random(53), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    part = lambda i: f"password={i:012d}abc deadbeefdeadbeef{i % 10} name{i}-of-a-long-thing-{i} " + "".join(rn.choice(letters) for _ in range(40)) + "\n"
+    text = "".join(part(i) for i in range(8000))
+    began = time.time()
+    found = secrets.find(text)
+    assert len(text) > 700_000 and time.time() - began < 30
+    kinds = collections.Counter(k for k, _, _ in found)
+    assert kinds["assign"] == kinds["hex"] == 8000 and kinds["random"] > 7500
+    assert "password" not in secrets.redacted(text, found)
+
+
 def test_false_discoveries_are_controlled():
     """Of what is reported among ordinary and random tokens, at most a few hundredths are ordinary; single tokens count too."""
     rn = random.Random(52)
@@ -744,6 +753,14 @@ def test_foreign_archives(spark, tmp_path, monkeypatch):
         list(warc.WarcReader([str(tmp_path / "c.warc")], "full").read(warc.Range(str(tmp_path / "c.warc"), 0, 10**6)))
 
 
+def test_archives_of_long_payloads(spark):
+    long = "é<p>" * 1_500_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "x")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive(pages).collect()}
+    assert got[1]["payload_bytes"] == got[2]["payload_bytes"] == 7_500_000 and got[2]["refers_to"] == 1 and got[3]["record_type"] == "response"
+    assert got[2]["payload_digest"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_revisits_refer_to_records(tmp_path):
     response, revisit = warc.record("response", 3, "u", None, b"x" * 200), warc.record("revisit", 5, "v", 3, b"x" * 200)
     first, second = (warc.parse_headers(io.BytesIO(r)) for r in (response, revisit))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where it is unset and there are no executors
+    on other machines, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it names the folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
