@@ -31,7 +31,7 @@ from .common import slices, split_of_crc32, table, utf8, written
 from .hashing import FOLD, Batch
 
 #: Bytes of context.
-DEPTH = 6
+DEPTH = 5
 #: Bytes of text of a block, and of those whose grams are held at once; keys of a row; keys that a range is asked for.
 BLOCK, SLICE, CHUNK, RANGE = 1 << 25, 1 << 19, 1 << 13, 1 << 22
 #: Bits of a gram's key; cuts are put between contexts of DEPTH - 1 bytes.
