@@ -459,7 +459,10 @@ def score(docs: DataFrame) -> DataFrame:
     n_all, n_types = int(of_words["zeros"].sum()), int(of_words["ones"].sum())
     given = answers(dealt(asked, cuts), top)
     texts = rows.where(F.col("kind") == TEXT).select("block", "kind", "size", "ids", "held_out", "sizes", "texts")
-    both = given.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+    # several partitions for each block, so that few blocks share one
+    n_blocks = rows.where(F.col("kind") == TEXT).select("block").distinct().count()
+    n_parts = max(4 * n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = given.unionByName(texts, allowMissingColumns=True).repartition(n_parts, "block").sortWithinPartitions("block", "kind")
     return rated(both, n_all, n_types, docs.schema["doc_id"].dataType.simpleString())
 
 
