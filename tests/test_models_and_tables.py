@@ -172,3 +172,56 @@ def test_prepared_images(spark):
     rows = [(1, 5, 7, bytearray(image.tobytes())), (2, 5, 7, None), (3, 5, 7, bytearray(b"ab"))]
     out = {r["table_id"]: r["pixels"] for r in prepare(spark.createDataFrame(rows, "table_id int, height int, width int, content binary"), mean, std, size).collect()}
     assert np.allclose(out[1], got.ravel(), atol=1e-5) and out[2] is None and out[3] is None
+
+
+def test_chunks_with_too_many_tokens(monkeypatch):
+    from veilspan.operators import ner
+
+    class Letters:
+        """A token for each character; entities are the capitals, each answer with the text that it saw."""
+
+        def __init__(self):
+            self.seen = []
+
+        def count_tokens(self, text):
+            return len(text)
+
+        def entities(self, text):
+            self.seen.append(text)
+            return [{"entity_group": "PER", "start": i, "end": i + 1, "word": c, "score": 1.0} for i, c in enumerate(text) if c.isupper()]
+
+    text = "".join("X" if i % 97 == 0 else "abc"[i % 3] for i in range(790))
+    backend = Letters()
+    found = ner.answer(backend, text)
+    assert {(a, b, w) for _, a, b, w, _ in found} == {(i, i + 1, "X") for i in range(0, 790, 97)}
+    assert len(backend.seen) == 2 and all(len(t) <= ner.TOKENS for t in backend.seen) and backend.seen[0][-50:] == backend.seen[1][:50]
+    monkeypatch.setattr(ner, "TOKENS", 10)
+    assert {a for _, a, *_ in ner.answer(Letters(), text)} == set(range(0, 790, 97))
+
+
+def test_sources_by_name(spark, tmp_path):
+    from veilspan.sources.files import explicit, scan_folder
+
+    for name in ("a.pdf", "b.PDF", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r["name"] for r in scan_folder(spark, str(tmp_path)).collect()) == ["a.pdf", "b.PDF"]
+    assert [r["name"] for r in scan_folder(spark, str(tmp_path), case_sensitive=True).collect()] == ["a.pdf"]
+    assert [tuple(r) for r in explicit(spark, ["z.pdf", "a.pdf"]).collect()] == [("z.pdf", 0), ("a.pdf", 1)]
+
+
+def test_names_in_a_folder_with_clashes(spark):
+    """Against the fold that probes each number from 2 on."""
+    import random
+
+    rn = random.Random(9)
+    bases = [rn.choice(["a", "a (2)", "a (3)", "b", "b (2)"]) for _ in range(60)]
+    used, want = set(), []
+    for base in bases:
+        name, k = base, 2
+        while name in used:
+            name, k = f"{base} ({k})", k + 1
+        used.add(name)
+        want.append(name)
+    rows = [(f"p{i}", "out", b, i, True) for i, b in enumerate(bases)] + [("q", "out", "a", 99, False)]
+    got = runs.unique_names(spark.createDataFrame(rows, "path string, out_dir string, base string, ord int, ok boolean")).orderBy("ord").collect()
+    assert [r["name"] for r in got] == want
