@@ -67,4 +67,6 @@ def one(text: Column, rank: int, name: str, label: str, where: str, pattern: str
 
 def detect(docs: DataFrame, only: tuple[str, ...] | None = None, key: str = "doc_id") -> DataFrame:
     """One row for each span of each document; a null text has none."""
-    return docs.select(key, F.inline(spans_of(F.col("text"), only)))
+    from .scan import found  # which needs this module
+
+    return docs.select(key, F.inline(found(F.col("text"), only)))

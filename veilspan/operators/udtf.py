@@ -13,6 +13,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions.patterns import BARE_STAMP, BIRTH_CONTEXT, DETECTORS, INSTITUTION, NEEDS, TAJ_BEFORE
 from .detect import LEAST, RULES, WEIGHTS
+from .scan import Scanner, alike, merge
 
 NEAR = 60
 
@@ -24,19 +25,9 @@ def compiled(pattern: str):
     return regex.compile(("(?i)" if flags[1] else "") + pattern[flags.end() :] if flags else pattern, regex.V0)
 
 
-def merge(spans: list[tuple]) -> list[tuple]:
-    """(start, end, order, label, text) without overlaps: the first one's label and text stand for what overlaps it."""
-    out: list[tuple] = []
-    for s in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
-        if out and s[0] < out[-1][1]:
-            out[-1] = (out[-1][0], max(s[1], out[-1][1]), *out[-1][2:])
-        else:
-            out.append(s)
-    return out
-
-
 class PiiSpans:
     def __init__(self):
+        self.scan = Scanner()
         self.detectors = [(name, label, where, compiled(p), [compiled(n) for n in NEEDS[name]]) for name, label, where, p in DETECTORS]
         self.stamp, self.birth, self.taj, self.institution = (compiled(p) for p in (BARE_STAMP, BIRTH_CONTEXT, TAJ_BEFORE, INSTITUTION))
 
@@ -61,6 +52,11 @@ class PiiSpans:
     def eval(self, text: str) -> Iterator[tuple]:
         if text is None:
             return
+        if alike(text):
+            first = [merge(s) for s in self.scan.found([text])]
+            for a, b, _, label, found in merge(first[0] + self.scan.near([text], first)[0]):
+                yield a, b, label, found
+            return
         first = merge(list(self.found(text)))
         names = [s for s in first if s[3] == "NAME"]
         more = []

@@ -50,14 +50,24 @@ LINES = (
 TEXT = " || chr(10) || ".join(LINES)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores: a file with one row group is one task, however many rows it has.
+
+    Ids of notes are dealt before their texts are made of them.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a note for each customer."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") + FIRST).alias("doc_id"), F.expr(TEXT).alias("text"))
+    ids = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
+    return ids.select((F.col("c_custkey") + FIRST).alias("doc_id"), F.expr(TEXT).alias("text"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all notes."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(notes(spark, sf_dir))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").unionByName(notes(spark, sf_dir))
 
 
 NOTES_SQL = f"SELECT c_custkey + {FIRST} AS doc_id, {TEXT} AS text FROM customer"

@@ -1,4 +1,4 @@
-"""The whole redaction of a document, as one projection: no shuffle, no Python."""
+"""The whole redaction of a document, as one projection without a shuffle: in Python by batches, or as expressions."""
 
 from __future__ import annotations
 
@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_table_rows
 from ..operators.detect import FULL_SPAN, detect, spans_of
 from ..operators.ner import accepted, chunks, entities
+from ..operators.scan import RESULT, resolved
 from ..operators.spans import counts, drop_midword, ids_near_names, merged, redacted
 
 
 def redact_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, redacted_text, label_counts, n_spans, spans from patterns alone; a null text stays null, without spans.
 
-    Each step is a projection of its own behind a column that Catalyst may not fold into the next one twice.
+    Texts go through scan.resolved(), what it leaves out through finish(), as nulls do.
     """
-    base = docs.select(key, collapse_table_rows(F.col("text")).alias("text"))
+    base = docs.select(key, "text", resolved(F.col("text"), rows=True, put=True).alias("done"))
+    base = base.select(key, "done", collapse_table_rows(F.when(F.col("done").isNull(), F.col("text"))).alias("text"))
     return finish(base.withColumn("found", spans_of(F.col("text"))), key)
 
 
 def finish(found: DataFrame, key: str) -> DataFrame:
+    """Each step is a projection of its own behind a column that Catalyst may not fold into the next one twice; done: as
+    scan.resolved() gives it, what is done already."""
     text = F.col("text")
-    step = found.select(key, "text", F.inline_outer(F.array(F.struct(merged(F.col("found")).alias("first")))))
-    step = step.select(key, "text", F.inline_outer(F.array(F.struct(merged(F.concat("first", ids_near_names(text, F.col("first")))).alias("spans")))))
-    return step.select(key, redacted(text, F.col("spans")).alias("redacted_text"), counts(F.col("spans")).alias("label_counts"), F.size("spans").alias("n_spans"), "spans")
+    step = found.select(key, "text", "done", F.inline_outer(F.array(F.struct(merged(F.col("found")).alias("first")))))
+    last = F.coalesce("done.spans", merged(F.concat("first", ids_near_names(text, F.col("first")))))
+    step = step.select(key, "text", "done", F.inline_outer(F.array(F.struct(last.alias("spans")))))
+    new = F.coalesce("done.text", redacted(text, F.col("spans")))
+    return step.select(key, new.alias("redacted_text"), counts(F.col("spans")).alias("label_counts"), F.size("spans").alias("n_spans"), "spans")
 
 
 def redact_with_model(docs: DataFrame, make, key: str = "doc_id") -> DataFrame:
@@ -34,4 +40,4 @@ def redact_with_model(docs: DataFrame, make, key: str = "doc_id") -> DataFrame:
     ner = drop_midword(base, accepted(entities(chunks(base, key), make, key), base, key), regex, key)
     both = ner.unionByName(regex)
     lists = both.groupBy(key).agg(F.collect_list(F.struct("start", "end", "label", "text", "score", "ord")).cast(FULL_SPAN).alias("found"))
-    return finish(base.join(lists, key, "left").withColumn("found", F.coalesce("found", F.array().cast(FULL_SPAN))), key)
+    return finish(base.join(lists, key, "left").withColumn("found", F.coalesce("found", F.array().cast(FULL_SPAN))).withColumn("done", F.lit(None).cast(RESULT)), key)
