@@ -5,6 +5,7 @@ Cells are (page, table_id, row, col, row_span, col_span, l, t, r, b, header); de
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,17 +37,46 @@ def clamped(boxes: DataFrame) -> DataFrame:
 
 
 def tokens_in_tables(tables: DataFrame, tokens: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """table_id, token_id, text: tokens with text whose center lies in a table of their page; joined by page.
+    """table_id, token_id, text: tokens with text whose center lies in a table of their page; joined by squares of a grid.
 
     cells (table_id, token_id, text): those of a table's cluster, which stand in where no token, blank or not, lies in it.
+    A grid has squares as wide and as high as a power of two that the table doesn't exceed, so that it lies in few of them;
+    tokens look into the grids that their page has.
     """
-    x, y = (F.col("tok.l") + F.col("tok.r")) / 2, (F.col("tok.t") + F.col("tok.b")) / 2
-    inside = (F.col("tok.page") == F.col("tab.page")) & (x >= F.col("tab.l")) & (x <= F.col("tab.r")) & (y >= F.col("tab.t")) & (y <= F.col("tab.b"))
-    found = tables.alias("tab").join(tokens.alias("tok"), inside).select("tab.table_id", "tok.token_id", "tok.text")
+    at = ["page", "_w", "_h", "_x", "_y"]
+    boxes = tables.select("table_id", "page", "l", "t", "r", "b", power(F.col("r") - F.col("l")).alias("_w"), power(F.col("b") - F.col("t")).alias("_h"))
+    grids = boxes.select("page", "_w", "_h").distinct()
+    boxes = boxes.withColumn("_x", F.explode(squares("l", "r", "_w"))).withColumn("_y", F.explode(squares("t", "b", "_h")))
+    x, y = (F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2
+    centers = tokens.select("page", "token_id", "text", x.alias("_cx"), y.alias("_cy")).join(F.broadcast(grids), "page")
+    centers = centers.withColumn("_x", square(F.col("_cx"), F.col("_w"))).withColumn("_y", square(F.col("_cy"), F.col("_h")))
+    tab, tok = boxes.alias("tab"), centers.alias("tok")
+    inside = (F.col("tok._cx") >= F.col("tab.l")) & (F.col("tok._cx") <= F.col("tab.r")) & (F.col("tok._cy") >= F.col("tab.t")) & (F.col("tok._cy") <= F.col("tab.b"))
+    inside = functools.reduce(Column.__and__, [F.col(f"tok.{c}") == F.col(f"tab.{c}") for c in at], inside)
+    found = tab.join(tok.where(F.trim("tok.text") != ""), inside).select("tab.table_id", "tok.token_id", "tok.text")
     if cells is not None:
-        without = tables.select("table_id").join(found, "table_id", "left_anti")
-        found = found.unionByName(cells.join(without, "table_id", "left_semi").select("table_id", "token_id", "text"))
-    return found.where(F.trim("text") != "")
+        without = tables.select("table_id").join(tab.join(tok, inside, "left_semi").select("table_id"), "table_id", "left_anti")
+        found = found.unionByName(cells.join(without, "table_id", "left_semi").select("table_id", "token_id", "text").where(F.trim("text") != ""))
+    return found
+
+
+#: Powers of two that squares of a grid go down and up to; what is larger lies in a grid of one square.
+LEAST_POWER, MOST_POWER = -20, 50
+
+
+def power(extent: Column) -> Column:
+    """The least power of two that an extent doesn't exceed."""
+    return F.when(extent <= 2.0**MOST_POWER, F.greatest(F.ceil(F.log2(F.greatest(extent.cast("double"), F.lit(2.0**LEAST_POWER)))).cast("int"), F.lit(LEAST_POWER))).otherwise(MOST_POWER + 1)
+
+
+def square(at: Column, power_: Column) -> Column:
+    return F.when(power_ <= MOST_POWER, F.floor(at / F.pow(F.lit(2.0), power_))).otherwise(0).cast("long")
+
+
+def squares(first: str, last: str, power_: str) -> Column:
+    """Those from first to last: two, or three where an extent was rounded."""
+    a, b = (square(F.col(c), F.col(power_)) for c in (first, last))
+    return F.array_distinct(F.array(a, F.least(a + 1, b), b))
 
 
 def matched_cells(matches: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.patterns import DETECTORS, FULL, LOWER, UPPER
 from .functions.text import manual_files, redact_filename
 from .operators import ner, runs, tables
+from .plans.notes import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +168,7 @@ def table_clusters(spark, sf_dir):
   SELECT table_id, token_id, text FROM f WHERE trim(text) <> '' UNION ALL SELECT table_id, 0 - table_id, 'cell' FROM tab WHERE table_id NOT IN (SELECT table_id FROM f)""")
 def table_tokens(spark, sf_dir):
     boxes = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS table_id", "s_nationkey AS page", "s_suppkey % 40 AS l", "s_suppkey % 30 AS t", "s_suppkey % 40 + 6 AS r", "s_suppkey % 30 + 6 AS b")
-    tokens = read(spark, sf_dir, "customer").selectExpr("c_custkey AS token_id", "c_nationkey AS page", "c_custkey % 60 - 1 AS l", "c_custkey % 50 - 1 AS t", "c_custkey % 60 + 1 AS r", "c_custkey % 50 + 1 AS b", "CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_name END AS text")
+    tokens = spread(read(spark, sf_dir, "customer"), "c_custkey").selectExpr("c_custkey AS token_id", "c_nationkey AS page", "c_custkey % 60 - 1 AS l", "c_custkey % 50 - 1 AS t", "c_custkey % 60 + 1 AS r", "c_custkey % 50 + 1 AS b", "CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_name END AS text")
     cells = boxes.selectExpr("table_id", "0 - table_id AS token_id", "'cell' AS text")
     return tables.tokens_in_tables(boxes, tokens, cells)
 
