@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,7 +39,8 @@ LINE_ENDS = r"\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029"
 ROW = re.compile(rf"(?:\A|(?<=[{LINE_ENDS}]))\|([^{LINE_ENDS}]*)\|(?=\r?\n|\Z)")
 RESULT = f"struct<first:{FULL_SPAN},near:{FULL_SPAN},spans:{FULL_SPAN},text:string>"
 SPAN_TYPE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64()), ("ord", pa.int32())])
-Span = tuple[int, int, int, str, str]  # start, end, ord, label, text
+Span = tuple[int, int, int, str, str, float | None]  # start, end, ord, label, text, score
+More = Callable[[str, list[Span]], list[Span]]
 
 
 def compiled(pattern: str) -> re.Pattern:
@@ -74,7 +75,7 @@ def merge(spans: list[Span]) -> list[Span]:
     for s in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
         if out and s[0] < out[-1][1]:
             if s[1] > out[-1][1]:
-                out[-1] = (out[-1][0], s[1], *out[-1][2:])
+                out[-1] = (out[-1][0], s[1], *out[-1][2:5], None)
         else:
             out.append(s)
     return out
@@ -82,7 +83,7 @@ def merge(spans: list[Span]) -> list[Span]:
 
 def redacted(text: str, spans: list[Span]) -> str:
     parts, last = [], 0
-    for a, b, _, label, _ in spans:
+    for a, b, _, label, *_ in spans:
         parts += [text[last:a], PLACEHOLDERS.get(label) or f"[REDACTED_{label}]"]
         last = b
     return "".join([*parts, text[last:]])
@@ -122,7 +123,7 @@ class Scanner:
                 n, text = 0, texts[which[i]]
                 for a, b in group:
                     if self.kept(name, text, a, text[a:b]):
-                        out[which[i]].append((a, b, (rank + 1) * 1_000_000 + n, label, text[a:b]))
+                        out[which[i]].append((a, b, (rank + 1) * 1_000_000 + n, label, text[a:b], None))
                         n += 1
         return out
 
@@ -138,7 +139,7 @@ class Scanner:
                 # spans are disjoint and in order: the first that ends late enough decides
                 k, c = bisect_right(name_ends, a - NEAR - 1), bisect_right(ends, b - 1)
                 if k < len(names) and names[k][0] - NEAR <= b and not (c < len(ends) and first[i][c][0] <= a):
-                    out[i].append((a, b, 90_000_000 + len(out[i]), "DOCTOR_ID", texts[i][a:b]))
+                    out[i].append((a, b, 90_000_000 + len(out[i]), "DOCTOR_ID", texts[i][a:b], None))
         return out
 
 
@@ -180,8 +181,8 @@ def lists(spans: list[list[Span] | None]) -> pa.Array:
     for s in spans:
         flat += s or ()
         offsets.append(len(flat))
-    start, end, order, label, text = zip(*flat, strict=True) if flat else ((),) * 5
-    values = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(label, pa.string()), pa.array(text, pa.string()), pa.nulls(len(flat), pa.float64()), pa.array(order, pa.int32())]
+    start, end, order, label, text, score = zip(*flat, strict=True) if flat else ((),) * 6
+    values = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(label, pa.string()), pa.array(text, pa.string()), pa.array(score, pa.float64()), pa.array(order, pa.int32())]
     mask = pa.array([s is None for s in spans], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, fields=list(SPAN_TYPE)), mask=mask)
 
@@ -210,16 +211,27 @@ def found(text: Column, only: tuple[str, ...] | None = None) -> Column:
     return F.coalesce(scanned(text, only), spans_of(text, only))
 
 
-def resolved(text: Column, rows: bool = False, put: bool = False) -> Column:
+def unlike(text: Column) -> Column:
+    """Whether the functions here leave the text to expressions; null for null."""
+    return text.rlike("[^" + re.sub(r"\\U(\w{8})", r"\\x{\1}", ALIKE) + "]")
+
+
+def resolved(text: Column, rows: bool = False, put: bool = False, more: Callable[[], More] | None = None) -> Column:
     """Of a text the merged spans (first), the numbers near names (near), both merged (spans) and, if it is put, the text
-    with placeholders; rows: of the text with collapsed table rows.  Null for null and for texts that aren't alike."""
+    with placeholders; rows: of the text with collapsed table rows; more: makes, once in each task, what gives further spans
+    of a text and those of its patterns.  Null for null and for texts that aren't alike."""
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        others = more() if more else None
+        for column in batches:
+            yield batch(column, others)
+
+    def batch(column: pa.Array, others: More | None) -> pa.Array:
         texts, scan = column.to_pylist(), scanner(None)
         first, near, spans, new = ([None] * len(texts) for _ in range(4))
         for some in groups(texts):
             own = [collapsed(texts[i]) if rows else texts[i] for i in some]
-            one = [merge(s) for s in scan.found(own)]
+            one = [merge((others(t, s) if others else []) + s) for t, s in zip(own, scan.found(own), strict=True)]
             for i, t, a, b in zip(some, own, one, scan.near(own, one), strict=True):
                 first[i], near[i], spans[i] = a, b, merge(a + b) if b else a
                 if put:

@@ -47,14 +47,14 @@ class PiiSpans:
                 for i, m in enumerate(pattern.finditer(text)):
                     start, end = m.span(0 if where == "whole" else 1)
                     if self.kept(name, text, start, text[start:end]):
-                        yield start, end, rank * 1_000_000 + i, label, text[start:end]
+                        yield start, end, rank * 1_000_000 + i, label, text[start:end], None
 
     def eval(self, text: str) -> Iterator[tuple]:
         if text is None:
             return
         if alike(text):
             first = [merge(s) for s in self.scan.found([text])]
-            for a, b, _, label, found in merge(first[0] + self.scan.near([text], first)[0]):
+            for a, b, _, label, found, _ in merge(first[0] + self.scan.near([text], first)[0]):
                 yield a, b, label, found
             return
         first = merge(list(self.found(text)))
@@ -63,8 +63,8 @@ class PiiSpans:
         for i, m in enumerate(self.stamp.finditer(text) if names else ()):
             a, b = m.span()
             if any(s[0] - NEAR <= b and a <= s[1] + NEAR for s in names) and not any(s[0] <= a and b <= s[1] for s in first):
-                more.append((a, b, 90_000_000 + i, "DOCTOR_ID", m[0]))
-        for a, b, _, label, found in merge([*first, *more]):
+                more.append((a, b, 90_000_000 + i, "DOCTOR_ID", m[0], None))
+        for a, b, _, label, found, _ in merge([*first, *more]):
             yield a, b, label, found
 
 
