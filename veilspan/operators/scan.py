@@ -211,11 +211,6 @@ def found(text: Column, only: tuple[str, ...] | None = None) -> Column:
     return F.coalesce(scanned(text, only), spans_of(text, only))
 
 
-def unlike(text: Column) -> Column:
-    """Whether the functions here leave the text to expressions; null for null."""
-    return text.rlike("[^" + re.sub(r"\\U(\w{8})", r"\\x{\1}", ALIKE) + "]")
-
-
 def resolved(text: Column, rows: bool = False, put: bool = False, more: Callable[[], More] | None = None) -> Column:
     """Of a text the merged spans (first), the numbers near names (near), both merged (spans) and, if it is put, the text
     with placeholders; rows: of the text with collapsed table rows; more: makes, once in each task, what gives further spans

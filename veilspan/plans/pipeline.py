@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_table_rows
-from ..operators.detect import FULL_SPAN, detect, spans_of
-from ..operators.ner import cleaned, model_spans
-from ..operators.scan import RESULT, resolved, unlike
-from ..operators.spans import counts, drop_midword, ids_near_names, merged, redacted
+from ..operators.detect import spans_of
+from ..operators.ner import cleaned, cleaned_of
+from ..operators.scan import resolved
+from ..operators.spans import counts, ids_near_names, merged, redacted
 
 
 def redact_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -34,21 +34,9 @@ def finish(found: DataFrame, key: str) -> DataFrame:
 
 
 def redact_with_model(docs: DataFrame, make, key: str = "doc_id") -> DataFrame:
-    """redact_documents() with a model's spans: they come first, cleaned against the patterns' spans.
-
-    Document by document for texts that are alike and null ones, by joins for others.
-    """
-    rest = F.coalesce(unlike(F.col("text")), F.lit(False))
-    one = docs.where(~rest).select(key, resolved(F.col("text"), True, True, cleaned(make)).alias("done"))
-    spans = F.coalesce("done.spans", F.array().cast(FULL_SPAN))
-    one = one.select(key, F.col("done.text").alias("redacted_text"), spans.alias("spans")).withColumns({"label_counts": counts(F.col("spans")), "n_spans": F.size("spans")})
-    return one.select(key, "redacted_text", "label_counts", "n_spans", "spans").unionByName(by_joins(docs.where(rest), make, key))
-
-
-def by_joins(docs: DataFrame, make, key: str) -> DataFrame:
-    base = docs.select(key, collapse_table_rows(F.col("text")).alias("text"))
-    regex = detect(base, key=key)
-    ner = drop_midword(base, model_spans(base, make, key), regex, key)
-    both = ner.unionByName(regex)
-    lists = both.groupBy(key).agg(F.collect_list(F.struct("start", "end", "label", "text", "score", "ord")).cast(FULL_SPAN).alias("found"))
-    return finish(base.join(lists, key, "left").withColumn("found", F.coalesce("found", F.array().cast(FULL_SPAN))).withColumn("done", F.lit(None).cast(RESULT)), key)
+    """redact_documents() with a model's spans: they come first, cleaned against the patterns' spans."""
+    base = docs.select(key, "text", resolved(F.col("text"), True, True, cleaned(make)).alias("done"))
+    base = base.select(key, "done", collapse_table_rows(F.when(F.col("done").isNull(), F.col("text"))).alias("text"))
+    base = base.select(key, "done", "text", F.inline_outer(F.array(F.struct(spans_of(F.col("text")).alias("regex")))))
+    base = base.withColumn("model", cleaned_of(F.col("text"), F.col("regex"), make))
+    return finish(base.withColumn("found", F.concat("model", "regex")), key)
