@@ -7,7 +7,7 @@ from veilspan.functions.text import collapse_table_rows
 from veilspan.operators import ner, scan
 from veilspan.operators.detect import FULL_SPAN, detect, spans_of
 from veilspan.operators.spans import drop_midword, ids_near_names, merged, redacted
-from veilspan.operators.udtf import PiiSpans
+from veilspan.operators.udtf import PiiSpans, register
 from veilspan.plans.notes import spread, texts
 from veilspan.plans.pipeline import finish, redact_documents, redact_with_model
 
@@ -60,6 +60,20 @@ def test_table_function_equals_resolved(spark):
     assert {d: list(one.eval(t)) for d, t in enumerate(some)} == got
 
 
+def test_table_function_reads_batches(spark):
+    """Not a Python call for each row; and the same spans as the expressions, of texts that aren't alike as well."""
+    df = spark.createDataFrame([*enumerate(samples(200, 11)), (900, "TAJ: ² 111\x0b111\x0b110"), (901, "TAJ: ²")], "doc_id long, text string").repartition(4).localCheckpoint()
+    register(spark)
+    found = spark.sql("SELECT doc_id, s.* FROM {d}, LATERAL pii_spans(text) s", d=df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDTF" not in plan and "Join" not in plan
+    step = df.withColumn("first", merged(spans_of(F.col("text")))).localCheckpoint()
+    step = step.select("doc_id", "first", ids_near_names(F.col("text"), F.col("first")).alias("near")).localCheckpoint()
+    want = step.select("doc_id", F.inline(merged(F.concat("first", "near")))).select("doc_id", "start", "end", "label", "text").collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) > 500
+    assert sum(t is not None and not scan.alike(t) for t in (r["text"] for r in df.collect())) > 50
+
+
 def test_one_file_is_dealt_over_tasks(spark, tmp_path):
     spark.range(2000).selectExpr("id AS doc_id", "'a' AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.range(2000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))

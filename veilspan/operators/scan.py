@@ -90,9 +90,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 class Scanner:
-    """Spans of the detectors, or of those named."""
+    """Spans of the detectors, or of those named; compiled: makes patterns of what Java takes."""
 
-    def __init__(self, only: tuple[str, ...] | None = None):
+    def __init__(self, only: tuple[str, ...] | None = None, compiled: Callable[[str], re.Pattern] = compiled):
         self.detectors = [(rank, *d[:3], compiled(d[3]), NEEDS[d[0]]) for rank, d in enumerate(DETECTORS) if not only or d[0] in only]
         self.needs = {d[1]: [compiled(n.replace(r"\p{Nd}", r"\d").replace(r"[^\p{L}\d]", r"(?:[\W_]|(?!\d)\w)")) for n in d[5]] for d in self.detectors}
         self.stamp, self.birth, self.taj, self.institution = (compiled(p) for p in (BARE_STAMP, BIRTH_CONTEXT, TAJ_BEFORE, INSTITUTION))

@@ -1,21 +1,20 @@
 """SQL: pii_spans(text), a table function with the spans that redaction replaces in a text.
 
-For queries in SQL alone; spans_of() and merged() give the same without leaving the JVM.
+For queries in SQL alone.  It reads texts by batches; those that aren't alike are searched one by one, by the regex module.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import functions as F
 
-from ..functions.patterns import BARE_STAMP, BIRTH_CONTEXT, DETECTORS, INSTITUTION, NEEDS, TAJ_BEFORE
-from .detect import LEAST, RULES, WEIGHTS
-from .scan import Scanner, alike, merge
-
-NEAR = 60
+from .detect import FULL_SPAN
+from .scan import Scanner, Span, groups, lists, merge, scanner
 
 
 def compiled(pattern: str):
@@ -25,49 +24,41 @@ def compiled(pattern: str):
     return regex.compile(("(?i)" if flags[1] else "") + pattern[flags.end() :] if flags else pattern, regex.V0)
 
 
+@functools.cache
+def careful() -> Scanner:
+    return Scanner(compiled=compiled)
+
+
 class PiiSpans:
-    def __init__(self):
-        self.scan = Scanner()
-        self.detectors = [(name, label, where, compiled(p), [compiled(n) for n in NEEDS[name]]) for name, label, where, p in DETECTORS]
-        self.stamp, self.birth, self.taj, self.institution = (compiled(p) for p in (BARE_STAMP, BIRTH_CONTEXT, TAJ_BEFORE, INSTITUTION))
-
-    def kept(self, name: str, text: str, start: int, found: str) -> bool:
-        if name == "taj":
-            digits = [c for c in found if c not in "-  \n\t"]
-            sums = all(c in "0123456789" for c in digits) and sum(int(c) * w for c, w in zip(digits, WEIGHTS, strict=False)) % 10 == int(digits[8])
-            return (sums or bool(self.taj.search(text[max(0, start - 60) : start]))) and not self.institution.search(text[max(0, start - 12) : start])
-        if name in RULES:
-            line = text[text.rfind("\n", 0, start) + 1 : start]
-            return bool(self.birth.search(line) or ":" not in line and self.birth.search(text[max(0, start - 80) : start]))
-        return len(found) >= LEAST.get(name, 0)
-
-    def found(self, text: str) -> Iterator[tuple]:
-        for rank, (name, label, where, pattern, needs) in enumerate(self.detectors):
-            if all(n.search(text) for n in needs):
-                for i, m in enumerate(pattern.finditer(text)):
-                    start, end = m.span(0 if where == "whole" else 1)
-                    if self.kept(name, text, start, text[start:end]):
-                        yield start, end, rank * 1_000_000 + i, label, text[start:end], None
-
-    def eval(self, text: str) -> Iterator[tuple]:
-        if text is None:
-            return
-        if alike(text):
-            first = [merge(s) for s in self.scan.found([text])]
-            for a, b, _, label, found, _ in merge(first[0] + self.scan.near([text], first)[0]):
-                yield a, b, label, found
-            return
-        first = merge(list(self.found(text)))
-        names = [s for s in first if s[3] == "NAME"]
-        more = []
-        for i, m in enumerate(self.stamp.finditer(text) if names else ()):
-            a, b = m.span()
-            if any(s[0] - NEAR <= b and a <= s[1] + NEAR for s in names) and not any(s[0] <= a and b <= s[1] for s in first):
-                more.append((a, b, 90_000_000 + i, "DOCTOR_ID", m[0], None))
-        for a, b, _, label, found, _ in merge([*first, *more]):
+    def of(self, texts: list[str | None]) -> list[list[Span] | None]:
+        """Of each text its spans; None for None."""
+        out: list[list[Span] | None] = [None] * len(texts)
+        for some in groups(texts):
+            self.put(scanner(None), texts, some, out)
+        for i, t in enumerate(texts):
+            if t is not None and out[i] is None:
+                self.put(careful(), texts, [i], out)
+        return out
+
+    def put(self, scan: Scanner, texts: list[str | None], some: list[int], out: list[list[Span] | None]) -> None:
+        own = [texts[i] for i in some]
+        first = [merge(s) for s in scan.found(own)]
+        for i, a, b in zip(some, first, scan.near(own, first), strict=True):
+            out[i] = merge(a + b) if b else a
+
+    def eval(self, text: str | None) -> Iterator[tuple]:
+        for a, b, _, label, found, _ in self.of([text])[0] or ():
             yield a, b, label, found
 
 
+def span_lists(texts: pa.Array) -> pa.Array:
+    return lists(PiiSpans().of(texts.to_pylist()))
+
+
 def register(spark: SparkSession) -> None:
-    """Make pii_spans(text) known to the session's SQL: SELECT doc_id, s.* FROM docs, LATERAL pii_spans(text) s"""
-    spark.udtf.register("pii_spans", udtf(PiiSpans, returnType="start int, end int, label string, text string"))
+    """Make pii_spans(text) known to the session's SQL: SELECT doc_id, s.* FROM docs, LATERAL pii_spans(text) s
+
+    A Python table function would be called for each row, so it is one of SQL over an Arrow function.
+    """
+    spark.udf.register("pii_span_lists", F.arrow_udf(span_lists, FULL_SPAN))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pii_spans(text STRING) RETURNS TABLE (start INT, end INT, label STRING, text STRING) RETURN SELECT s.start, s.end, s.label, s.text FROM inline(pii_span_lists(text)) AS s")
